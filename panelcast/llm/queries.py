@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe_automaton, piece_counts, quality, simhash
+from panelcast.llm import bpe_automaton, exact_digest, license_scan, piece_counts, quality, simhash, url_templates
 from panelcast.llm.common import table
 
 
@@ -22,6 +22,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdict(rated).select("doc_id", *quality.FIGURES, "base_failed", "kept")
 
 
+def op5_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_digest.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -31,7 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_automaton, op3_quality_rules, op9_token_counts, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_automaton, op3_quality_rules, op5_exact_digest, op6_license_scan, op7_url_templates, op9_token_counts, op10_simhash)}
 
 SQL: dict[str, str] = {}
 
@@ -58,3 +74,7 @@ bad AS (SELECT source FROM h, p WHERE (h.f + p.m * p.k) / (h.n + p.k) > 0.5)
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept FROM f
 """
+
+SQL["op7_url_templates"] = url_templates.judge_sql(URL_RULES)
+
+SQL["op6_license_scan"] = license_scan.scan_sql()
