@@ -8,10 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bpe_automaton, exact_digest, license_scan, piece_counts, quality, simhash, url_templates
+from panelcast.llm import bpe_automaton, exact_digest, langid, license_scan, packing, piece_counts, quality, simhash, suffix_dedup, url_templates
 from panelcast.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = langid.train(docs, hidden=8, steps=400)
+    out = langid.predicted(docs.select("doc_id", "text"), network)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
@@ -22,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdict(rated).select("doc_id", *quality.FIGURES, "base_failed", "kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), length=200)
+
+
 def op5_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_digest.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -38,6 +49,11 @@ def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = packing.token_ids(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.pack(tokens, window=4096)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -47,7 +63,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_automaton, op3_quality_rules, op5_exact_digest, op6_license_scan, op7_url_templates, op9_token_counts, op10_simhash)}
+_ALL = (op1_language_id, op2_bpe_automaton, op3_quality_rules, op4_suffix_dedup, op5_exact_digest, op6_license_scan, op7_url_templates, op8_packing, op9_token_counts, op10_simhash)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {}
 
