@@ -205,8 +205,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     th = F.xxhash64(F.col(text_col))
     known = docs.withColumns({"_id": F.col(id_col).cast("long"), "_th": th})
     base = docs.select(F.col(id_col).cast("long").alias("id"), th.alias("th"), F.col(text_col).alias("text"))
-    spans = repeated_spans(base, length, **how).groupBy("id", "th").agg(F.flatten(F.collect_list("span")).alias("_list"))
-    joined = known.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").drop("_id", "_th", "id", "th")
+    spans = repeated_spans(base, length, **how).groupBy("id", "th").agg(F.flatten(F.collect_list("span")).alias("_list")).withColumnsRenamed({"id": "_span_id", "th": "_span_th"})
+    joined = known.join(spans, F.col("_id").eqNullSafe(F.col("_span_id")) & F.col("_th").eqNullSafe(F.col("_span_th")), "left").drop("_id", "_th", "_span_id", "_span_th")
 
     def rows(texts, lists):
         kept, sizes, removed, counts = [], [], [], []
