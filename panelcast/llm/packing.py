@@ -18,6 +18,8 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import os
+import re
 import zlib
 from array import array
 
@@ -27,42 +29,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm.bpe_automaton import byte_letters
 from panelcast.llm.common import cut
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
 
 
+_PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\u024f]").search  # case and composition of what lies below are simple
+
+
 class Encoder:
-    """A tokenizers vocabulary whose pre-split never crosses white space, with a bounded table of the runs between
-    white space seen so far; unseen runs of a batch go to the library together."""
+    """A tokenizers vocabulary whose pre-split never crosses white space and parts letters from marks, and which lower-
+    cases, with a bounded table of the runs between white space seen so far. Unseen runs of a batch go to the library
+    together. To see fewer different ones, plain text is lower-cased before; and a run that ends in a single point or
+    comma after a letter or digit is put together from the ids of its parts."""
 
-    def __init__(self, content: str, size: int = 300_000):
+    def __init__(self, content: str, size: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.size = size
 
+    @staticmethod
+    def runs(text: str) -> list[str] | None:
+        """Parts whose ids in a row are the text's; None where the text must go as a whole."""
+        if "<|" in text or _PLAIN(text):
+            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return text.lower().split()
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Packed unsigned 32-bit ids of each text."""
-        runs = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        unseen = {w for r in runs if r for w in r}.difference(self.young)
-        if len(self.young) + len(unseen) > self.size:
-            self.old, self.young = self.young, {}
-            unseen = {w for r in runs if r for w in r}
-        known = {w: self.old[w] for w in unseen if w in self.old}
-        self.young |= known
-        todo = sorted(unseen.difference(known))
-        for k in range(0, len(todo), 50_000):
-            part = todo[k : k + 50_000]
+        runs = [self.runs(t) for t in texts]
+        young, old = self.young, self.old
+        unseen: list[str] = []
+        pointed: list[str] = []
+        for r in runs:
+            for w in set(r or ()).difference(young):
+                known = old.get(w)
+                if known is None:
+                    known = b""
+                    if w[-1] in ".," and w[-2:-1].isalnum():
+                        pointed.append(w)
+                        for x in (w[:-1], w[-1]):
+                            if x not in young:
+                                young[x] = got = old.get(x, b"")
+                                if not got:
+                                    unseen.append(x)
+                    else:
+                        unseen.append(w)
+                young[w] = known
+        whole: list[str] = []
+        for w in unseen:
+            if w.isalpha() and w.islower() and not _PLAIN(w):  # pre-split as one: straight to the library's merges
+                young[w] = array("I", [x.id for x in self.merge(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            else:
+                whole.append(w)
+        for k in range(0, len(whole), 2000):
+            part = whole[k : k + 2000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.young[w] = array("I", e.ids).tobytes()
-        young = self.young
-        return [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if r is None else b"".join(map(young.__getitem__, r)) for t, r in zip(texts, runs)]
+                young[w] = array("I", e.ids).tobytes()
+        for w in pointed:
+            young[w] = young[w[:-1]] + young[w[-1]]
+        out = [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if r is None else b"".join(map(young.__getitem__, r)) for t, r in zip(texts, runs)]
+        if len(young) > self.size:
+            self.old, self.young = young, {}
+        return out
 
 
 _KEPT: dict[int, Encoder] = {}
