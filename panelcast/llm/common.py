@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -40,11 +43,27 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers outlive tasks and share the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows, so that few whole texts are Python objects at a time; memory is released at the end."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    release()
+
+
 def arrow_map(f: Callable[[list[list]], Iterable[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from one over the columns of a batch that gives row tuples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             rows = list(f([column.to_pylist() for column in batch.columns]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -81,10 +100,9 @@ def appended(df: DataFrame, inputs: list[str], f: Callable[..., list[list]], new
     types = [t for _, _, t in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = f(*[batch.column(i).to_pylist() for i in at])
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(made, types))], names=[f"c{i}" for i in range(len(batch.columns) + len(types))])
+        for batch in parts(batches):
+            made = f(*[batch.column(i).to_pylist() for i in at])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(made, types))], names=[f"c{i}" for i in range(len(batch.columns) + len(types))])
 
     # by position, so that clashing names do no harm
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.bpe_automaton import byte_letters
-from panelcast.llm.common import cut
+from panelcast.llm.common import cut, parts, release
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
@@ -120,12 +120,10 @@ def token_ids(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 2,
             _KEPT[key] = Encoder(content.value)
         encoder = _KEPT[key]
         end = array("I", [end_id]).tobytes()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids = [np.frombuffer(x + end, np.uint32) for x in encoder.batch([t or "" for t in part.column(1).to_pylist()])]
-                wide = any(len(x) and x.max() > 65_535 for x in ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([4 if wide else 2] * len(ids), pa.int32()), pa.array([(x if wide else x.astype(np.uint16)).tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "width", "ids"])
+        for part in parts(batches):
+            ids = [np.frombuffer(x + end, np.uint32) for x in encoder.batch([t or "" for t in part.column(1).to_pylist()])]
+            wide = any(len(x) and x.max() > 65_535 for x in ids)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([4 if wide else 2] * len(ids), pa.int32()), pa.array([(x if wide else x.astype(np.uint16)).tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "width", "ids"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return cut(chosen.mapInArrow(encode, "doc_id long, n long, width int, ids binary"))
@@ -266,7 +264,7 @@ def pack(tokens: DataFrame, window: int = 4096, units: int = 64, depth: int = 3,
             first += top + 1
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=PIECES_ARROW)
 
-        for batch in batches:
+        for batch in parts(batches):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 block.append(row)
                 size += len(row[2]) // row[1]
@@ -275,5 +273,7 @@ def pack(tokens: DataFrame, window: int = 4096, units: int = 64, depth: int = 3,
                     block, size = [], 0
         if block:
             yield flush()
+        block.clear()
+        release()
 
     return tokens.select("doc_id", "width", "ids").mapInArrow(run, PIECES)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import appended, cut
+from panelcast.llm.common import appended, cut, parts
 from panelcast.llm.induced_sort import repeated
 
 _TABLE = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64)
@@ -111,7 +111,7 @@ def _chunk(parts: list[tuple[int, int, bytes]], length: int, gram: int):
 
 def _segment_rows(length: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids, ths = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
             texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
             for text, at, n, h, d in segments(texts, length, gram):
@@ -139,7 +139,7 @@ def _sorted_shards(length: int, shard_bytes: int):
 
     def run(batches):
         rows, size, last = [], 0, None
-        for batch in batches:
+        for batch in parts(batches):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if size >= shard_bytes and row[6] != last:
                     yield spans(rows)
@@ -153,7 +153,7 @@ def _sorted_shards(length: int, shard_bytes: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 8_000_000, shard_rows: int = 25_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000) -> DataFrame:
     """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text)."""
     found = cut(docs.select("id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), SEGMENT_SQL))
     counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi")).filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
@@ -173,14 +173,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
 
     def bytes_of(batches):
         schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("alone", pa.bool_()), ("seg", pa.binary()), ("h", pa.int64())])
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                rows = []
-                for key, th, text, segs in zip(*[c.to_pylist() for c in batch.slice(k, 500).columns]):
-                    data = text.encode()
-                    rows += [(key, th, s["at"], s["n"], s["alone"], data[s["at"] : s["at"] + s["n"] + length - 1], s["h"]) for s in segs]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+        for batch in parts(batches, 500):
+            rows = []
+            for key, th, text, segs in zip(*[c.to_pylist() for c in batch.columns]):
+                data = text.encode()
+                rows += [(key, th, s["at"], s["n"], s["alone"], data[s["at"] : s["at"] + s["n"] + length - 1], s["h"]) for s in segs]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     dealt = cut_out.select("id", "th", "text", "segs").mapInArrow(bytes_of, "id long, th long, at int, n int, alone boolean, seg binary, h long")
     arrays = dealt.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_sorted_shards(length, shard_bytes), "id long, th long, span array<struct<s:int,e:int>>")
