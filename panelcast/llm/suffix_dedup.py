@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import appended, cut, parts
+from panelcast.llm.common import appended, cut, drop_cut, parts
 from panelcast.llm.induced_sort import repeated
 
 _TABLE = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64)
@@ -156,12 +156,15 @@ def _sorted_shards(length: int, shard_bytes: int):
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000) -> DataFrame:
     """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text)."""
     found = cut(docs.select("id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), SEGMENT_SQL))
-    counts = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi")).filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # counts and groups are stored, so that both sides of the joins with them come from a shuffle: only then does Spark
+    # split a hash that holds a large part of the rows
+    counts = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi")).filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")))
     hits = cut(found.join(counts, "h"))
+    drop_cut(found)
     whole = F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") + F.lit(length - 1)).alias("e")))
     equal = hits.filter("NOT mixed").select("id", "th", whole.alias("span"))
     tagged = hits.filter("mixed").withColumn("row", F.xxhash64("id", "th", "at"))
-    groups = tagged.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"))
+    groups = cut(tagged.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")))
     needed = groups.groupBy("h").agg(F.min("copies").alias("least")).filter("least = 1").select("h")
     copied = tagged.select("id", "th", "at", "n", "h", "d").join(groups.filter("copies > 1").select("h", "d"), ["h", "d"]).select("id", "th", whole.alias("span"))
     chosen = groups.join(needed, "h").join(tagged.select("h", "d", "row", "id", "th", "at", "n"), ["h", "d", "row"])
