@@ -112,10 +112,17 @@ def rated(docs: DataFrame, text_col: str = "text", prefix: str = "", keep_text:
     return cut(out if keep_text else out.drop(text_col))
 
 
-def verdict(rows: DataFrame, host_col: str = "source", prefix: str = "", max_host_rate: float = 0.5) -> DataFrame:
+def verdict(rows: DataFrame, host_col: str = "source", prefix: str = "", max_host_rate: float = 0.5, broadcast_rows: int = 100_000) -> DataFrame:
     """rated() rows with `kept`, named with prefix."""
     verdicts = host_verdicts(rows, host_col, prefix + "base_failed", max_host_rate)
     bad = verdicts.filter("rejected").select(F.col("host").alias(prefix + "_host"), F.lit(True).alias(prefix + "_bad"))
-    joined = rows.join(bad, rows[host_col].eqNullSafe(bad[prefix + "_host"]), "left")
+    # rejected hosts are few; many are dealt out with the rows' hosts salted, as one host may have a third of all rows
+    if bad.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(bad), rows[host_col].eqNullSafe(bad[prefix + "_host"]), "left")
+    else:
+        salts = 64
+        salted = rows.withColumn(prefix + "_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        many = bad.withColumn(prefix + "_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = salted.join(many, salted[host_col].eqNullSafe(many[prefix + "_host"]) & (F.col(prefix + "_salt") == F.col(prefix + "_salt2")), "left").drop(prefix + "_salt", prefix + "_salt2")
     kept = ~F.col(prefix + "base_failed") & F.col(prefix + "_bad").isNull()
     return joined.withColumn(prefix + "kept", kept).drop(prefix + "_host", prefix + "_bad")
