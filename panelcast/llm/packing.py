@@ -37,13 +37,14 @@ PIECES_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")
 
 
 _PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\u024f]").search  # case and composition of what lies below are simple
+_MARKS = ".,;:!?#*$%&|)]}\"-=+/"
 
 
 class Encoder:
     """A tokenizers vocabulary whose pre-split never crosses white space and parts letters from marks, and which lower-
     cases, with a bounded table of the runs between white space seen so far. Unseen runs of a batch go to the library
-    together. To see fewer different ones, plain text is lower-cased before; and a run that ends in a single point or
-    comma after a letter or digit is put together from the ids of its parts."""
+    together. To see fewer different ones, plain text is lower-cased before; and a run that ends in marks after a
+    letter or digit is put together from the ids of its two parts."""
 
     def __init__(self, content: str, size: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -70,15 +71,16 @@ class Encoder:
         runs = [self.runs(t) for t in texts]
         young, old = self.young, self.old
         unseen: list[str] = []
-        pointed: list[str] = []
+        pointed: list[tuple[str, str]] = []
         for r in runs:
             for w in set(r or ()).difference(young):
                 known = old.get(w)
                 if known is None:
                     known = b""
-                    if w[-1] in ".," and w[-2:-1].isalnum():
-                        pointed.append(w)
-                        for x in (w[:-1], w[-1]):
+                    stem = w.rstrip(_MARKS)
+                    if stem != w and stem[-1:].isalnum():
+                        pointed.append((w, stem))
+                        for x in (stem, w[len(stem) :]):
                             if x not in young:
                                 young[x] = got = old.get(x, b"")
                                 if not got:
@@ -96,8 +98,8 @@ class Encoder:
             part = whole[k : k + 2000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 young[w] = array("I", e.ids).tobytes()
-        for w in pointed:
-            young[w] = young[w[:-1]] + young[w[-1]]
+        for w, stem in pointed:
+            young[w] = young[stem] + young[w[len(stem) :]]
         out = [array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if r is None else b"".join(map(young.__getitem__, r)) for t, r in zip(texts, runs)]
         if len(young) > self.size:
             self.old, self.young = young, {}
