@@ -62,7 +62,7 @@ def _ranges(docs: DataFrame, range_mb: int, knots: int) -> tuple[Column, DataFra
     return bucket, docs.sparkSession.createDataFrame(goes, "top long, goes long")
 
 
-def with_next(docs: DataFrame, payload: list[str], range_mb: int = 16, knots: int = 64) -> DataFrame:
+def with_next(docs: DataFrame, payload: list[str], range_mb: int = 8, knots: int = 64) -> DataFrame:
     """docs (doc_id, text and payload) with next_* of the next row by descending doc_id, the last one's being the
     first row. One shuffle by ranges of ids; the largest row of each range is also sent, marked, to the range
     above it (the very largest to the lowest), where it is the last one's next."""
