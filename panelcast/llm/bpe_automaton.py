@@ -132,7 +132,7 @@ class Automaton:
         find = regex.compile(SPLIT).findall
         self._find = find
         #: A run of text between single spaces pre-splits alike wherever it stands.
-        self._chunk = Memo(lambda chunk: b"".join(map(pack, find(chunk))))
+        self._chunk = Memo(lambda chunk: b"".join(map(pack, find(chunk))), 600_000)
         self._word = Memo(pack)
         self._double = regex.compile(r"\s\s|^\s|\s$").search
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
