@@ -18,6 +18,8 @@ are one node; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,9 +45,12 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = n - size + 1
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts[:k].tolist(), ends[size - 1 :].tolist())), np.uint64, k)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(k, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.uint32)
+    spans = zip(starts[:k].tolist(), ends[size - 1 :].tolist())
+    ones = np.zeros(64, np.int64)
+    for at in range(0, k, 1 << 16):  # a long text's bits aren't all in memory at once
+        n = min(k - at, 1 << 16)
+        hashes = np.fromiter((digest(joined[s:e], seed) for s, e in itertools.islice(spans, n)), np.uint64, n)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
 
 
