@@ -29,7 +29,7 @@ LEVELS, FAN, STRENGTH, REJECT, Z_BOUND = 3, 64, 10.0, 0.8, 3.0
 def located(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host (A-Z lower-cased), path."""
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", "\u0001"), "\u0001", -1)).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return pages.select(F.col(id_col).alias("page_id"), host.alias("host"), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"))
 
@@ -64,7 +64,10 @@ def templates(labelled: DataFrame, levels: int = LEVELS, fan: int = FAN, strengt
     above: list[str] = ["host"]
     for s in range(levels):
         below = F.concat_ws("/", *[F.col(f"s{k}") for k in range(s + 1, levels)])
-        child = tree.groupBy(*above, f"s{s}").agg(F.sum("lab").alias("k_lab"), F.sum("bad").alias("k_bad"), F.array_join(F.sort_array(F.collect_set(below)), " ").alias("shape"))
+        # the set of forms below, however large, as its size and two sums of hashes
+        forms = tree.groupBy(*above, f"s{s}", below.alias("below")).agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
+        hashed = [F.sum(F.xxhash64(*seed, F.col("below")).cast("decimal(38,0)")).cast("string") for seed in ([], [F.lit(1)])]
+        child = forms.groupBy(*above, f"s{s}").agg(F.sum("lab").alias("k_lab"), F.sum("bad").alias("k_bad"), F.concat_ws(" ", F.count(F.lit(1)).cast("string"), *hashed).alias("shape"))
         node = child.groupBy(*above).agg(F.count(f"s{s}").alias("kids"), F.sum("k_lab").alias("p_lab"), F.sum("k_bad").alias("p_bad"))
         same = [child[c].eqNullSafe(node[c]) for c in above]
         both = child.join(node, same).drop(*[node[c] for c in above])
