@@ -12,8 +12,11 @@ minimizer are one segment; each string is in exactly one. So
 3. a segment whose digest also occurs elsewhere under its hash is repeated as a whole;
 4. of each other segment under a repeated hash, and of one of each group of equal ones, the bytes are dealt out by
    the hash; there `induced_sort` gives the suffix and common-prefix arrays, and suffixes that share `length` bytes
-   with a neighbour are repeated. A hash's segments are sorted together, on disk where memory doesn't do: equal
-   segments were collapsed before, so a passage copied a million times is one segment;
+   with a neighbour are repeated. A hash's segments are sorted together: equal segments were collapsed before, so a
+   passage copied a million times is one segment. Of a hash with more than `shard_rows` different segments, the
+   strings are dealt out anew by where the minimizer lies in them, in blocks of `WIDTHS` places, and by the bytes that
+   all strings of the block hold; narrower blocks follow where that isn't enough, down to single strings, of which a
+   hash has one. So no sort has more than about a shard's segments;
 5. the spans are gathered by text (their number is bounded by its length), merged, and cut out.
 
 Texts go through one shuffle by id, used for steps 4 and 5.
@@ -34,6 +37,8 @@ from panelcast.llm.common import appended, cut, drop_cut, parts
 from panelcast.llm.induced_sort import repeated
 
 _TABLE = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64)
+#: Places of the minimizer that are taken together when a large hash is split.
+WIDTHS = (43, 8, 1)
 SEGMENT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("d", pa.int64())])
 SEGMENT_SQL = "id long, th long, at int, n int, h long, d long"
 
@@ -153,6 +158,65 @@ def _sorted_shards(length: int, shard_bytes: int):
     return run
 
 
+DEALT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("alone", pa.bool_()), ("seg", pa.binary()), ("h", pa.int64()), ("hot", pa.bool_()), ("p", pa.int32())])
+DEALT_SQL = "id long, th long, at int, n int, alone boolean, seg binary, h long, hot boolean, p int"
+
+
+def minimizer_place(segment: bytes, h: int, length: int, gram: int) -> int:
+    """Where the gram with hash h (signed) that the segment's strings share starts in it."""
+    found = gram_hashes(np.frombuffer(segment[:length], np.uint8), gram).view(np.int64)
+    return int(np.argmax(found == h))
+
+
+def narrower(at: int, n: int, segment: bytes, h: int, place: int, width: int, length: int):
+    """(at, n, segment, hash, place) of the parts of a segment: strings whose minimizer lies in the same block of
+    `width` places, under a hash of the bytes that all strings of the block hold."""
+    for block in range((place - n + 1) // width, place // width + 1):
+        nearest, farthest = block * width, block * width + width - 1
+        first, last = place - min(farthest, place), place - max(nearest, place - n + 1)
+        core = segment[place - nearest : place - farthest + length]
+        key = xxhash.xxh3_64_intdigest(core + h.to_bytes(8, "little", signed=True) + block.to_bytes(4, "little") + bytes([width]))
+        yield at + first, last - first + 1, segment[first : last + length], key - (1 << 64) if key >> 63 else key, place - first
+
+
+def _narrowed(width: int, length: int):
+    def run(batches):
+        for batch in parts(batches):
+            rows = []
+            for key, th, at, n, alone, seg, h, place in zip(*[c.to_pylist() for c in batch.columns]):
+                for a, k, piece, finer, p in narrower(at, n, seg, h, place, width, length):
+                    d = xxhash.xxh3_64_intdigest(piece)
+                    rows.append((key, th, a, k, alone, piece, finer, False, p, d - (1 << 64) if d >> 63 else d))
+            if rows:
+                schema = DEALT.append(pa.field("d", pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return run
+
+
+def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans, dealt rows) of the segments of hashes that are too large for a sort: repeated parts, and the parts to
+    sort under their new hashes."""
+    spans, sorts = [], []
+    widths = [w for w in WIDTHS if w <= length]
+    for width in widths:
+        made = cut(hot.select("id", "th", "at", "n", "alone", "seg", "h", "p").mapInArrow(_narrowed(width, length), DEALT_SQL + ", d long"))
+        one = F.min(F.struct(F.xxhash64("id", "th", "at", "n").alias("row"), "id", "th", "at", "n", "alone", "seg", "p"))
+        groups = cut(made.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), one.alias("r")))
+        kinds = groups.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        whole = F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") + F.lit(length - 1)).alias("e")))
+        spans.append(made.filter("alone").select("id", "th", "at", "n", "h", "d").join(groups.filter("c > 1").select("h", "d"), ["h", "d"]).select("id", "th", whole.alias("span")))
+        left = groups.join(kinds, "h").select("r.id", "r.th", "r.at", "r.n", (F.col("r.alone") & (F.col("c") == 1)).alias("alone"), "r.seg", "h", (F.col("kinds") > shard_rows).alias("hot"), "r.p")
+        if width == widths[-1]:
+            return spans, [*sorts, left]
+        left = cut(left)
+        sorts.append(left.filter("NOT hot"))
+        hot = left.filter("hot")
+        if hot.isEmpty():
+            return spans, sorts
+    return spans, sorts
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000) -> DataFrame:
     """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text)."""
     found = cut(docs.select("id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), SEGMENT_SQL))
@@ -165,27 +229,38 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
     equal = hits.filter("NOT mixed").select("id", "th", whole.alias("span"))
     tagged = hits.filter("mixed").withColumn("row", F.xxhash64("id", "th", "at"))
     groups = cut(tagged.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")))
-    needed = groups.groupBy("h").agg(F.min("copies").alias("least")).filter("least = 1").select("h")
+    needed = groups.groupBy("h").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1").select("h", (F.col("kinds") > shard_rows).alias("hot"))
     copied = tagged.select("id", "th", "at", "n", "h", "d").join(groups.filter("copies > 1").select("h", "d"), ["h", "d"]).select("id", "th", whole.alias("span"))
     chosen = groups.join(needed, "h").join(tagged.select("h", "d", "row", "id", "th", "at", "n"), ["h", "d", "row"])
-    chosen = cut(chosen.select("id", "th", F.struct("at", "n", (F.col("copies") == 1).alias("alone"), "h").alias("seg")))
-    shards = max(1, -(-chosen.count() // shard_rows))
+    chosen = cut(chosen.select("id", "th", F.struct("at", "n", (F.col("copies") == 1).alias("alone"), "h", "hot").alias("seg")))
+    tally = chosen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("seg.hot").cast("long")), F.lit(0)).alias("hot")).first()
+    shards = max(1, -(-tally.rows // shard_rows))
     by_text = chosen.groupBy("id", "th").agg(F.collect_list("seg").alias("segs"))
     texts = docs.select("id", "th", "text")
     cut_out = texts.join(by_text.select(F.col("id").alias("i"), F.col("th").alias("t"), "segs"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
 
     def bytes_of(batches):
-        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("alone", pa.bool_()), ("seg", pa.binary()), ("h", pa.int64())])
         for batch in parts(batches, 500):
             rows = []
             for key, th, text, segs in zip(*[c.to_pylist() for c in batch.columns]):
                 data = text.encode()
-                rows += [(key, th, s["at"], s["n"], s["alone"], data[s["at"] : s["at"] + s["n"] + length - 1], s["h"]) for s in segs]
+                for s in segs:
+                    seg = data[s["at"] : s["at"] + s["n"] + length - 1]
+                    rows.append((key, th, s["at"], s["n"], s["alone"], seg, s["h"], s["hot"], minimizer_place(seg, s["h"], length, gram) if s["hot"] else 0))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
-
-    dealt = cut_out.select("id", "th", "text", "segs").mapInArrow(bytes_of, "id long, th long, at int, n int, alone boolean, seg binary, h long")
-    arrays = dealt.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_sorted_shards(length, shard_bytes), "id long, th long, span array<struct<s:int,e:int>>")
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), DEALT.types)], schema=DEALT)
+
+    dealt = cut_out.select("id", "th", "text", "segs").mapInArrow(bytes_of, DEALT_SQL)
+    found_spans = []
+    if tally.hot:
+        dealt = cut(dealt)
+        found_spans, more = _split(dealt.filter("hot"), length, shard_rows)
+        dealt = dealt.filter("NOT hot")
+        for x in more:
+            dealt = dealt.unionByName(x)
+    arrays = dealt.select(*DEALT.names[:7]).repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_sorted_shards(length, shard_bytes), "id long, th long, span array<struct<s:int,e:int>>")
+    for x in found_spans:
+        arrays = arrays.unionByName(x)
     return equal.unionByName(copied).unionByName(arrays)
 
 
