@@ -9,7 +9,8 @@ minimizer are one segment; each string is in exactly one. So
 
 1. every text is cut into segments (hash of the minimizer, digest of the segment);
 2. hashes that occur once are dropped (counts, pre-aggregated);
-3. a segment whose digest also occurs elsewhere under its hash is repeated as a whole;
+3. a segment whose digest also occurs elsewhere under its hash is repeated as a whole; groups of equal segments that
+   hold more than a `HEAVY`th of all, of which there are fewer than HEAVY, are found by broadcast, not by a shuffle;
 4. of each other segment under a repeated hash, and of one of each group of equal ones, the bytes are dealt out by
    the hash; there `induced_sort` gives the suffix and common-prefix arrays, and suffixes that share `length` bytes
    with a neighbour are repeated. A hash's segments are sorted together: equal segments were collapsed before, so a
@@ -158,6 +159,22 @@ def _sorted_shards(length: int, shard_bytes: int):
     return run
 
 
+HEAVY = 10_000
+
+
+def _copied(rows: DataFrame, groups: DataFrame, length: int, least: int) -> DataFrame:
+    """Whole spans of rows (id, th, at, n, h, d) whose group (h, d, copies) has several."""
+    size = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("all"), F.coalesce(F.max("copies"), F.lit(0)).alias("top")).first()
+    bound = max(least, size.all // HEAVY)
+    light = groups.filter(f"copies > 1 AND copies <= {bound}").select("h", "d")
+    if size.top <= bound:
+        found = rows.join(light, ["h", "d"])
+    else:
+        heavy = F.broadcast(groups.filter(f"copies > {bound}").select("h", "d"))
+        found = rows.join(heavy, ["h", "d"], "left_anti").join(light, ["h", "d"]).unionByName(rows.join(heavy, ["h", "d"], "left_semi"))
+    return found.select("id", "th", F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") + F.lit(length - 1)).alias("e"))).alias("span"))
+
+
 DEALT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("alone", pa.bool_()), ("seg", pa.binary()), ("h", pa.int64()), ("hot", pa.bool_()), ("p", pa.int32())])
 DEALT_SQL = "id long, th long, at int, n int, alone boolean, seg binary, h long, hot boolean, p int"
 
@@ -202,11 +219,10 @@ def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame
     for width in widths:
         made = cut(hot.select("id", "th", "at", "n", "alone", "seg", "h", "p").mapInArrow(_narrowed(width, length), DEALT_SQL + ", d long"))
         one = F.min(F.struct(F.xxhash64("id", "th", "at", "n").alias("row"), "id", "th", "at", "n", "alone", "seg", "p"))
-        groups = cut(made.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), one.alias("r")))
+        groups = cut(made.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), one.alias("r")))
         kinds = groups.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        whole = F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") + F.lit(length - 1)).alias("e")))
-        spans.append(made.filter("alone").select("id", "th", "at", "n", "h", "d").join(groups.filter("c > 1").select("h", "d"), ["h", "d"]).select("id", "th", whole.alias("span")))
-        left = groups.join(kinds, "h").select("r.id", "r.th", "r.at", "r.n", (F.col("r.alone") & (F.col("c") == 1)).alias("alone"), "r.seg", "h", (F.col("kinds") > shard_rows).alias("hot"), "r.p")
+        spans.append(_copied(made.filter("alone").select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, shard_rows))
+        left = groups.join(kinds, "h").select("r.id", "r.th", "r.at", "r.n", (F.col("r.alone") & (F.col("copies") == 1)).alias("alone"), "r.seg", "h", (F.col("kinds") > shard_rows).alias("hot"), "r.p")
         if width == widths[-1]:
             return spans, [*sorts, left]
         left = cut(left)
@@ -230,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
     tagged = hits.filter("mixed").withColumn("row", F.xxhash64("id", "th", "at"))
     groups = cut(tagged.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")))
     needed = groups.groupBy("h").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1").select("h", (F.col("kinds") > shard_rows).alias("hot"))
-    copied = tagged.select("id", "th", "at", "n", "h", "d").join(groups.filter("copies > 1").select("h", "d"), ["h", "d"]).select("id", "th", whole.alias("span"))
+    copied = _copied(tagged.select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, shard_rows)
     chosen = groups.join(needed, "h").join(tagged.select("h", "d", "row", "id", "th", "at", "n"), ["h", "d", "row"])
     chosen = cut(chosen.select("id", "th", F.struct("at", "n", (F.col("copies") == 1).alias("alone"), "h", "hot").alias("seg")))
     tally = chosen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("seg.hot").cast("long")), F.lit(0)).alias("hot")).first()
