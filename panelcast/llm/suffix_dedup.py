@@ -220,7 +220,7 @@ def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame
         made = cut(hot.select("id", "th", "at", "n", "alone", "seg", "h", "p").mapInArrow(_narrowed(width, length), DEALT_SQL + ", d long"))
         one = F.min(F.struct(F.xxhash64("id", "th", "at", "n").alias("row"), "id", "th", "at", "n", "alone", "seg", "p"))
         groups = cut(made.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), one.alias("r")))
-        kinds = groups.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        kinds = cut(groups.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
         spans.append(_copied(made.filter("alone").select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, shard_rows))
         left = groups.join(kinds, "h").select("r.id", "r.th", "r.at", "r.n", (F.col("r.alone") & (F.col("copies") == 1)).alias("alone"), "r.seg", "h", (F.col("kinds") > shard_rows).alias("hot"), "r.p")
         if width == widths[-1]:
@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
     equal = hits.filter("NOT mixed").select("id", "th", whole.alias("span"))
     tagged = hits.filter("mixed").withColumn("row", F.xxhash64("id", "th", "at"))
     groups = cut(tagged.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")))
-    needed = groups.groupBy("h").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1").select("h", (F.col("kinds") > shard_rows).alias("hot"))
+    needed = cut(groups.groupBy("h").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1").select("h", (F.col("kinds") > shard_rows).alias("hot")))
     copied = _copied(tagged.select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, shard_rows)
     chosen = groups.join(needed, "h").join(tagged.select("h", "d", "row", "id", "th", "at", "n"), ["h", "d", "row"])
     chosen = cut(chosen.select("id", "th", F.struct("at", "n", (F.col("copies") == 1).alias("alone"), "h", "hot").alias("seg")))
