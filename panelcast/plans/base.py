@@ -27,6 +27,11 @@ def origins(spark: SparkSession, d: str) -> DataFrame:
     return panel.origins(weekly(spark, d), EVERY, FIRST)
 
 
+def all_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Every week from the FIRST on. ORIGINS, and with it each query that has SQL, takes every EVERY-th only."""
+    return panel.origins(weekly(spark, d), 1, FIRST)
+
+
 def truth(spark: SparkSession, d: str) -> DataFrame:
     return weekly(spark, d).select("location", F.col("week").alias("target_week"), F.col("y").alias("truth"))
 

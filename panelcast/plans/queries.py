@@ -642,9 +642,13 @@ def residual_by_location(spark, d):
 # fits and simulations that SQL can't say: the tests hold them against numpy
 
 
+def _whole_history(spark, d):
+    return panel.expanding(base.logged(spark, d), base.all_origins(spark, d), strict=True)
+
+
 @query()
 def ar6_fit(spark, d):
-    return fit.fit_each(_history(spark, d), ["origin", "location"], fit.ar(6), "coef array<double>, sd double, n int")
+    return fit.fit_each(_whole_history(spark, d), ["origin", "location"], fit.ar(6), "coef array<double>, sd double, n int")
 
 
 @query()
@@ -667,7 +671,7 @@ def ridge_direct(spark, d):
         b, c, sd = fit.standardised_ridge(x[:, 1:], target, 5.0)
         return {"coef": b.tolist(), "constant": c, "sd": sd}
 
-    return fit.fit_each(_history(spark, d), ["origin", "location"], run, "coef array<double>, constant double, sd double")
+    return fit.fit_each(_whole_history(spark, d), ["origin", "location"], run, "coef array<double>, constant double, sd double")
 
 
 def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -681,7 +685,7 @@ def ridge_var(spark, d):
         b, sd = fit.vector_ridge(wide, 2, 10.0, cross_only=True)
         return pd.DataFrame([(pdf["origin"].iloc[0], name, b[j].tolist(), float(sd[j])) for j, name in enumerate(wide.columns)], columns=["origin", "location", "coef", "sd"])
 
-    return _history(spark, d).select("origin", "location", "week", "z").groupBy("origin").applyInPandas(run, "origin date, location string, coef array<double>, sd double")
+    return _whole_history(spark, d).select("origin", "location", "week", "z").groupBy("origin").applyInPandas(run, "origin date, location string, coef array<double>, sd double")
 
 
 @query()
@@ -693,7 +697,7 @@ def var_paths(spark, d):
         paths = simulate.joint_paths(wide.to_numpy(), b, rng.normal(0, sd, (500, 4, len(sd))), 2)
         return pd.DataFrame([(pdf["origin"].iloc[0], name, h + 1, float(np.exp(np.median(paths[:, h, j])))) for j, name in enumerate(wide.columns) for h in range(4)], columns=["origin", "location", "horizon", "median"])
 
-    return _history(spark, d).select("origin", "location", "week", "z").groupBy("origin").applyInPandas(run, "origin date, location string, horizon int, median double")
+    return _whole_history(spark, d).select("origin", "location", "week", "z").groupBy("origin").applyInPandas(run, "origin date, location string, horizon int, median double")
 
 
 def _ar_maker(kind: str):
@@ -708,22 +712,22 @@ def _ar_maker(kind: str):
 
 @query()
 def gaussian_paths(spark, d):
-    return simulate.simulate_each(_history(spark, d), ["origin", "location"], _ar_maker("gaussian"), LEVELS, np.exp)
+    return simulate.simulate_each(_whole_history(spark, d), ["origin", "location"], _ar_maker("gaussian"), LEVELS, np.exp)
 
 
 @query()
 def student_t_paths(spark, d):
-    return simulate.simulate_each(_history(spark, d), ["origin", "location"], _ar_maker("student"), LEVELS, np.exp)
+    return simulate.simulate_each(_whole_history(spark, d), ["origin", "location"], _ar_maker("student"), LEVELS, np.exp)
 
 
 @query()
 def bootstrap_paths(spark, d):
-    return simulate.simulate_each(_history(spark, d), ["origin", "location"], _ar_maker("empirical"), LEVELS, np.exp)
+    return simulate.simulate_each(_whole_history(spark, d), ["origin", "location"], _ar_maker("empirical"), LEVELS, np.exp)
 
 
 @query()
 def analogue_paths(spark, d):
-    return simulate.simulate_each(_history(spark, d), ["origin", "location"], lambda y, rng: simulate.analogue_paths(y, 8, 4, 500, rng), LEVELS, np.exp)
+    return simulate.simulate_each(_whole_history(spark, d), ["origin", "location"], lambda y, rng: simulate.analogue_paths(y, 8, 4, 500, rng), LEVELS, np.exp)
 
 
 @query()
