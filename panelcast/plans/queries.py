@@ -775,9 +775,8 @@ def partial_acf(spark, d):
 
 @query()
 def bayes_draws(spark, d):
-    last = panel.origins(base.weekly(spark, d), 104, 156)
-    rows = panel.expanding(base.logged(spark, d), last)
-    draws = bayes.project(bayes.fit_splits(rows, draws=60, warm=60), 4)
+    rows = panel.expanding(base.logged(spark, d), base.all_origins(spark, d))
+    draws = bayes.project(bayes.fit_splits(rows), 4)
     return draws.groupBy("origin", "location", "horizon").agg(F.avg("latent").alias("mean"), F.stddev_samp("latent").alias("sd"), F.avg((~(F.abs("latent") < float("inf"))).cast("double")).alias("bad"))
 
 
