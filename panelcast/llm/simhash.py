@@ -1,8 +1,8 @@
 """SimHash near-duplicates by BK-trees (operator 10).
 
 A text's fingerprint has bit b set if over half of its shingles' 64-bit hashes have it. Equal fingerprints are
-one node, named by its smallest id. Fingerprints link at `radius` or fewer differing bits; components of links
-get the smallest id that is reachable.
+one node, named by the fingerprint. Fingerprints link at `radius` or fewer differing bits; components of links
+get the smallest id of their rows.
 
 Of radius + 1 blocks of bits at least one is equal in two linked fingerprints, so nodes are dealt out by block
 and value, and every such shard gets a BK-tree: a node's children are keyed by their Hamming distance to it,
@@ -12,7 +12,8 @@ they are not broadcast: a shuffle by shard brings each tree's nodes and queries
 to its components' smallest members only (a forest, never all pairs); the forests of all shards are joined by
 large-star and small-star rounds, each written to the shared folder.
 
-Defined results: a null id is larger than any other (a component of null ids has a null id); null, empty and blank texts have fingerprint zero and link like any other; rows that repeat
+Defined results: a null id is larger than any other (a component of null ids has a null id), and rows with a null
+id link by their own texts only; null, empty and blank texts have fingerprint zero and link like any other; rows that repeat
 are one node; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -184,16 +185,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-#: Stands for a null id, which is never smaller than another.
-NO_ID = 2**63 - 1
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shard_max: int = 4096, size: int = 3) -> DataFrame:
     """doc_id, fp (signed long), component_id of every row."""
-    chosen = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs[text_col].alias("text"))
+    chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     prints = cut(fingerprinted(chosen, size=size).select("doc_id", "fp"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = components(shard_links(nodes, radius, shard_max))
-    named = nodes.join(roots, nodes.node == roots.u, "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    known = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return prints.join(named, "fp").select(known("doc_id"), "fp", known("component_id"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(shard_links(nodes.select("fp", F.col("fp").alias("node")), radius, shard_max))
+    placed = nodes.join(roots, nodes.fp == roots.u, "left").select("fp", "least", F.coalesce("root", "fp").alias("part"))
+    named = placed.join(placed.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
