@@ -177,6 +177,10 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
 
 
+class NothingToLearn(ValueError):
+    """No row is labelled, not held out and has a letter."""
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 512, passage: int = 256, hidden: int = 8, **fit) -> BiGRU:
     """A network from a bounded sample of the rows that aren't held out and have a label and a letter."""
     spot = F.xxhash64(F.col(id_col).cast("string"))
@@ -186,18 +190,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     cut_out = rows.select(F.col(label_col).alias("lang"), F.pmod(spot, F.lit(per_language)).alias("k"), spot.alias("h"), F.substring(F.col(text_col), start.cast("int"), F.lit(passage)).alias("t"))
     sample = sorted((r.lang, r.k, r.t) for r in cut_out.groupBy("lang", "k").agg(F.min_by("t", F.struct("h", "t")).alias("t")).collect())
     if not sample:
-        raise ValueError("no labelled text to learn from")
+        raise NothingToLearn("no labelled text to learn from")
     network = BiGRU(sorted({lang for lang, _, _ in sample}), hidden)
     network.fit([t.encode() for _, _, t in sample], [lang for lang, _, _ in sample], **fit)
     return network
 
 
+def trained(docs: DataFrame, hidden: int = 8, **options) -> BiGRU:
+    """As train; where there is nothing to learn from, a network without classes, whose predictions are und with score 0."""
+    try:
+        return train(docs, hidden=hidden, **options)
+    except NothingToLearn:
+        return BiGRU([], hidden)
+
+
 def predicted(docs: DataFrame, network: BiGRU, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with lang_pred and score, each named with prefix. The weights are broadcast (some hundred KB, fixed)."""
     model = docs.sparkSession.sparkContext.broadcast((network.classes, network.hidden, network.w))
 
     def rows(texts):
         classes, hidden, weights = model.value
+        if not classes:
+            return [[UND] * len(texts), [0.0] * len(texts)]
         net = BiGRU(classes, hidden)
         net.w = weights
         langs, scores = [], []

@@ -14,7 +14,7 @@ from panelcast.llm.common import table
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    network = langid.train(docs, hidden=8, steps=400)
+    network = langid.trained(docs, hidden=8, steps=400)
     out = langid.predicted(docs.select("doc_id", "text"), network)
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
