@@ -1,19 +1,24 @@
-"""Byte-level BPE encoding and decoding by a deterministic automaton over tokens (operator 2).
+"""Byte-level BPE encoding and decoding by a deterministic automaton (operator 2).
 
-The automaton starts as one state with a loop for every byte. Each merge (u, v) -> t, in rank order, puts in
-a merge gadget:
+The automaton over tokens starts as one state with a loop for every byte. Each merge (u, v) -> t, in rank order, puts
+in a merge gadget:
 
 * every arc labelled u is led to a copy of its target that lacks the arc v (u v in a row is not allowed now);
 * every state that has an arc u gets an arc t, to where v led from there.
 
-The paths of the final automaton are exactly the token sequences that the merges produce, so a word has one
-path. A copy is stored as (state copied, label removed, merge number) and an arc is looked up by walking
-those, then kept in a table; written out, 50,000 states with some 10,000 arcs each would not fit in memory.
-Encoding follows arcs through the bytes of a pre-split word, the longest label first; a word position without
-a way on is marked dead and left for good. Decoding emits the labels of the arcs.
+A merge whose u v is no path by then can never be made and gets no gadget. The paths of the final automaton are
+exactly the token sequences that the merges produce, so a word has one path, and so has each of its prefixes. A copy
+is stored as (state copied, label removed, merge number) and an arc is looked up by walking those; written out, 50,000
+states with some 10,000 arcs each would not fit in memory.
+
+Encoding is by the deterministic automaton over bytes that follows from it: its states are the sets of (place in the
+tree of labels, state over tokens) of all labels that are under way, and a transition gives the one label that ends
+the path of the prefix read so far. Transitions are made when first met and kept in a table of bounded size. One pass
+over the bytes of a pre-split word, one look-up each, and the labels are read off from the end: no search, no way
+back. Decoding emits the labels of the arcs.
 
 Defined results: null texts count as empty (no ids); text equal to a special token becomes its id, as the
-library does; a repeated row gives a repeated result; any other columns are ignored.
+library does; a repeated row gives a repeated result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,19 +47,18 @@ def byte_letters() -> dict[str, int]:
 class Automaton:
     """Compiled from pairs of byte strings in rank order. vocab: byte string -> id; special: string -> id."""
 
-    def __init__(self, merges: list[tuple[bytes, bytes]], vocab: dict[bytes, int], special: dict[str, int] | None = None):
+    def __init__(self, merges: list[tuple[bytes, bytes]], vocab: dict[bytes, int], special: dict[str, int] | None = None, table: int = 400_000):
         self.special = special or {}
-        self.vocab = vocab
         self.label = {i: b for b, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, vocab), default=1)
         self.made: dict[int, int] = {}  # token -> merge that made it
         self.left: dict[int, int] = {}  # token -> its left part
         self.state = {vocab[bytes([b])]: 0 for b in range(256) if bytes([b]) in vocab}
         self.copied, self.removed, self.since = [0], [-1], [-1]
+        self.arcs: dict[int, bool] = {}
         for m, (a, b) in enumerate(merges):
             u, v, t = vocab[a], vocab[b], vocab[a + b]
-            if t in self.made:
-                continue
+            if u not in self.state or v not in self.state or not self.has(self.state[u], v):
+                continue  # u v is no path: this merge is never made
             self.made[t], self.left[t] = m, u
             after = self.state[v]
             self.copied.append(self.state[u])
@@ -62,10 +66,36 @@ class Automaton:
             self.since.append(m)
             self.state[u] = len(self.copied) - 1
             self.state[t] = after
-        self.arcs: dict[int, bool] = {}
+            self.arcs.clear()
+        # the tree of the labels that are on some path: (place << 8 | byte) -> place
+        self.tree: dict[int, int] = {}
+        self.ends: dict[int, int] = {}  # place -> token
+        self.size = {t: len(self.label[t]) for t in self.state}
+        places = 1
+        for t in self.state:
+            at = 0
+            for byte in self.label[t]:
+                below = self.tree.get(at << 8 | byte)
+                if below is None:
+                    below = self.tree[at << 8 | byte] = places
+                    places += 1
+                at = below
+            self.ends[at] = t
+        self.most = table
+        self._restart(())
+
+    def _restart(self, items: tuple) -> int:
+        """An empty table, with the start and, if any are given, a state of items: its number."""
+        self.table: dict[int, tuple[int, int]] = {}
+        self.sets = [((0, 0),)]
+        self.number = {self.sets[0]: 0}
+        if items and items != self.sets[0]:
+            self.number[items] = 1
+            self.sets.append(items)
+        return len(self.sets) - 1
 
     def has(self, state: int, token: int) -> bool:
-        """Whether state has an arc labelled token."""
+        """Whether the state over tokens has an arc labelled token."""
         key = state << 32 | token
         found = self.arcs.get(key)
         if found is None:
@@ -86,37 +116,40 @@ class Automaton:
             self.arcs[key] = found
         return found
 
+    def transition(self, number: int, byte: int) -> tuple[int, int]:
+        """(next state, label that ends the path here) of the automaton over bytes; kept in the table."""
+        items, token = [], None
+        for at, q in self.sets[number]:
+            below = self.tree.get(at << 8 | byte)
+            if below is not None:
+                items.append((below, q))
+                if token is None and (t := self.ends.get(below)) is not None and self.has(q, t):
+                    token = t
+        if token is None:
+            raise ValueError(f"no label for byte {byte}")
+        items = (*items, (0, self.state[token]))
+        if len(self.table) >= self.most:
+            number = self._restart(self.sets[number])
+        after = self.number.get(items)
+        if after is None:
+            after = self.number[items] = len(self.sets)
+            self.sets.append(items)
+        self.table[number << 8 | byte] = after, token
+        return after, token
+
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the one path through word."""
-        whole = self.vocab.get(word)
-        if whole is not None and whole in self.state:
-            return [whole]
-        n, vocab, has, state = len(word), self.vocab, self.has, self.state
-        path: list[int] = []
-        at, ends, dead = 0, [0], set()
-        longest = upper = self.longest
-        q = 0
-        while at < n:
-            size = min(upper, n - at)
-            while size:
-                token = vocab.get(word[at : at + size])
-                if token is not None and at + size not in dead and has(q, token):
-                    break
-                size -= 1
-            if size:
-                path.append(token)
-                at += size
-                ends.append(at)
-                q, upper = state[token], longest
-            else:  # no way on from here: one arc back, then a shorter label
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add(at)
-                last = path.pop()
-                ends.pop()
-                at = ends[-1]
-                upper = len(self.label[last]) - 1
-                q = state[path[-1]] if path else 0
+        q, ends = 0, []
+        for byte in word:
+            step = self.table.get(q << 8 | byte)
+            q, token = step if step is not None else self.transition(q, byte)
+            ends.append(token)
+        at, path, size = len(word), [], self.size
+        while at:
+            token = ends[at - 1]
+            path.append(token)
+            at -= size[token]
+        path.reverse()
         return path
 
     def encode(self, text: str) -> list[int]:
