@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators import linear
+from panelcast.operators.fit import average_linkage
+
 
 def autocorrelation(rows: DataFrame, by: list[str], value: str, most: int, time: str = "week") -> DataFrame:
     """by, lag, acf: sums of products around the mean of the whole series over its sum of squares."""
@@ -75,3 +79,35 @@ def predictive_coverage(draws: DataFrame, observed: DataFrame, keys: list[str])
     rows = draws.groupBy(*keys).agg(q.alias("q")).join(observed, keys)
     inside = lambda lo, hi: F.col("observed").between(F.get("q", F.lit(lo)), F.get("q", F.lit(hi)))
     return rows.select(*keys, inside(1, 2).alias("in50"), inside(0, 3).alias("in90"))
+
+
+def partial_autocorrelation(acf: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, lag, pacf from (by, lag, acf) at lags 1 .. most: the last coefficients of the Yule-Walker systems."""
+    r = acf.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("r"))
+    rows = r.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    every = F.sequence(F.lit(1), F.col("lag"))
+    matrix = F.transform(every, lambda i: F.concat(F.transform(every, lambda j: F.when(i == j, F.lit(1.0)).otherwise(F.get("r", F.abs(i - j) - 1))), F.array(F.get("r", i - 1))))
+    return rows.select(*by, "lag", F.element_at(linear.solved(matrix, F.col("lag")), -1).alias("pacf"))
+
+
+def clusters(rows: DataFrame, value: str, k: int, most: int = 5000) -> DataFrame:
+    """location, cluster: average linkage on 1 - correlation. Distances are made in Spark; the merges are a sequence by
+    nature and run on the driver, over at most `most` pairs of locations (more raise)."""
+    pairs = correlations(rows, value).limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} pairs of locations")
+    names = sorted({p.a for p in pairs} | {p.b for p in pairs})
+    place = {n: i for i, n in enumerate(names)}
+    distance = [[0.0] * len(names) for _ in names]
+    for p in pairs:
+        distance[place[p.a]][place[p.b]] = distance[place[p.b]][place[p.a]] = 1 - p["corr"]
+    return rows.sparkSession.createDataFrame(list(zip(names, average_linkage(np.array(distance), k))), "location string, cluster int")
+
+
+def qq_points(rows: DataFrame, by: list[str], value: str, normal: dict[int, float]) -> DataFrame:
+    """by, level, sample, theory: quantiles of the z-scores against the normal ones at the levels."""
+    w = Window.partitionBy(*by)
+    scores = rows.withColumn("_s", (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w))
+    got = scores.groupBy(*by).agg(F.percentile("_s", F.array(*[F.lit(k / 1000) for k in normal])).alias("q"))
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(z).alias("theory")) for k, z in normal.items()])
+    return got.select(*by, F.inline(F.zip_with(levels, "q", lambda a, b: F.struct(a["level"].alias("level"), b.alias("sample"), a["theory"].alias("theory")))))

@@ -57,3 +57,40 @@ def weighted_recent(value: Column, age: Column, rho: float) -> Column:
     """Exponentially weighted mean of a group; age 0 is the latest row."""
     w = F.pow(F.lit(rho), age)
     return F.sum(w * value) / F.sum(w)
+
+
+def with_profile(rows: DataFrame, profile: DataFrame, by: list[str], period: int = 52) -> DataFrame:
+    """rows (by, woy) with clim: the profile (by, woy, s) at the folded week."""
+    key = calendar.mod1(F.col("woy"), period).cast("int")
+    return rows.withColumn("_w", key).join(profile.select(*by, F.col("woy").alias("_w"), F.col("s").alias("clim")), [*by, "_w"]).drop("_w")
+
+
+def wide(panel: DataFrame, value: str, locations: list[str], time: str = "week") -> DataFrame:
+    """A column per location; times at which one is missing are left out."""
+    return panel.groupBy(time).pivot("location", locations).agg(F.first(value)).na.drop(subset=locations)
+
+
+def accumulated(panel: DataFrame, value: str, by: list[str], phi: float | None = None, time: str = "week") -> DataFrame:
+    """by, time, total: running sum, or with phi the recursion x = phi * x + value, as a fold over each series."""
+    if phi is None:
+        w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+        return panel.select(*by, time, F.sum(value).over(w).alias("total"))
+    series = panel.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("v")))).alias("xs"))
+    zero = F.array().cast(f"array<struct<t:{panel.schema[time].dataType.simpleString()},total:double>>")
+    step = lambda s, x: F.concat(s, F.array(F.struct(x["t"].alias("t"), (F.coalesce(F.try_element_at(s, F.lit(-1))["total"], F.lit(0.0)) * phi + x["v"]).alias("total"))))
+    return series.select(*by, F.inline(F.aggregate("xs", zero, step))).withColumnRenamed("t", time)
+
+
+def feature_rows(panel: DataFrame, profile: DataFrame, horizon: int, order: int = 4, trend: int = 4, period: int = 52) -> DataFrame:
+    """location, week, the values now and before, trend, clim of the target's week, the season's peak so far over the
+    running median, the natural level, sin and cos of the week: known at the row's week. panel: location, week, woy,
+    season_year, y, z; profile: woy, s."""
+    w = Window.partitionBy("location").orderBy("week")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    season = Window.partitionBy("location", "season_year").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
+    rows = panel.withColumns({**{f"now{k}": F.lag("z", k).over(w) for k in range(order)}, "trend": (F.col("z") - F.lag("z", trend - 1).over(w)) / (trend - 1), "amplitude": F.max("z").over(season) - F.percentile("z", F.lit(0.5)).over(upto), "target": F.lead("z", horizon).over(w)})
+    rows = rows.filter(F.col(f"now{order - 1}").isNotNull() & F.col("trend").isNotNull())
+    at = calendar.mod1(calendar.week_of_season(F.date_add("week", 7 * horizon)), period).cast("int")
+    rows = rows.withColumn("_w", at).join(profile.select(F.col("woy").alias("_w"), F.col("s").alias("clim")), "_w").drop("_w")
+    sin, cos = calendar.fourier(F.col("woy"), 1, float(period))
+    return rows.select("location", "week", *[f"now{k}" for k in range(order)], "trend", "clim", "amplitude", F.col("y").alias("natural"), sin.alias("sin"), cos.alias("cos"), "target")

@@ -25,11 +25,12 @@ def blend(own: DataFrame, pooled: DataFrame, weight: float, by: list[str], colum
 
 
 def shrunk(fits: DataFrame, value: str, variance: str, by: list[str]) -> DataFrame:
-    """Estimates of a group shrunk to their mean by tau2 / (tau2 + v), tau2 = max(var - mean v, 1e-8)."""
+    """Estimates of a group shrunk to their mean: one weight tau2 / (tau2 + v) for the group, with the mean variance v and
+    tau2 = max(var - v, 1e-8)."""
     w = Window.partitionBy(*by)
-    tau = F.greatest(F.var_samp(value).over(w) - F.avg(variance).over(w), F.lit(1e-8))
-    mean = F.avg(value).over(w)
-    return fits.withColumn("shrunk", mean + tau / (tau + F.col(variance)) * (F.col(value) - mean))
+    v, mean = F.avg(variance).over(w), F.avg(value).over(w)
+    tau = F.greatest(F.var_samp(value).over(w) - v, F.lit(1e-8))
+    return fits.withColumn("shrunk", mean + tau / (tau + v) * (F.col(value) - mean))
 
 
 def in_order(rows: DataFrame, by: list[str], value: str = "z", time: str = "week") -> DataFrame:
@@ -41,7 +42,7 @@ def smoothing(series: DataFrame, alphas: list[float]) -> DataFrame:
     """series with alpha, level, sse of simple exponential smoothing for each alpha: a fold that starts at y[1]."""
     grid = series.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     zero = F.struct(F.element_at("ys", 1).alias("level"), F.lit(0.0).alias("sse"))
-    fold = F.aggregate(F.slice("ys", 2, 1_000_000), zero, lambda s, y: F.struct((s["level"] + F.col("alpha") * (y - s["level"])).alias("level"), (s["sse"] + (y - s["level"]) * (y - s["level"])).alias("sse")))
+    fold = F.aggregate(F.slice("ys", F.lit(2), F.greatest(F.size("ys") - 1, F.lit(0))), zero, lambda s, y: F.struct((s["level"] + F.col("alpha") * (y - s["level"])).alias("level"), (s["sse"] + (y - s["level"]) * (y - s["level"])).alias("sse")))
     return grid.withColumn("f", fold).select(*grid.columns, "f.level", "f.sse")
 
 
@@ -57,7 +58,7 @@ def holt(series: DataFrame, grid: list[tuple[float, float, float]]) -> DataFrame
         trend = F.col("beta") * (level - s["level"]) + (1 - F.col("beta")) * F.col("phi") * s["trend"]
         return F.struct(level.alias("level"), trend.alias("trend"), (s["sse"] + (y - ahead) * (y - ahead)).alias("sse"))
 
-    fold = F.aggregate(F.slice("ys", 2, 1_000_000), zero, step)
+    fold = F.aggregate(F.slice("ys", F.lit(2), F.greatest(F.size("ys") - 1, F.lit(0))), zero, step)
     return rows.withColumn("f", fold).select(*rows.columns, "f.level", "f.trend", "f.sse")
 
 

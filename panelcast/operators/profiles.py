@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import calendar
+from panelcast.operators import linear
 
 
 def circular_mean(df: DataFrame, index: str, value: str, n: int, width: int, by: list[str]) -> DataFrame:
@@ -84,3 +85,25 @@ def severity(panel: DataFrame, climate: DataFrame, last: int = 8, min_locations:
     rows = panel.withColumn("_b", back).filter(F.col("_b") <= last).join(F.broadcast(climate), ["location", "woy"])
     own = rows.groupBy("location", "season_year").agg(F.avg(F.col("z") / F.col("c")).alias("ratio"))
     return own.groupBy("season_year").agg(F.avg("ratio").alias("severity"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_locations)
+
+
+def severity_difference(panel: DataFrame, climate: DataFrame, last: int = 8) -> DataFrame:
+    """season_year, location, severity: mean difference to climatology in the last weeks of each season."""
+    back = F.row_number().over(Window.partitionBy("location", "season_year").orderBy(F.desc("week")))
+    rows = panel.withColumn("_b", back).filter(F.col("_b") <= last).join(climate, ["location", "woy"])
+    return rows.groupBy("season_year", "location").agg(F.avg(F.col("z") - F.col("c")).alias("severity"))
+
+
+def whittaker(panel: DataFrame, by: list[str], penalty: float, period: int = 52) -> DataFrame:
+    """by, woy, c: means by folded week (the overall one for weeks without rows), smoothed on the circle: solves
+    (I + penalty D'D) c = means with D the second difference."""
+    rows = panel.withColumn("_w", calendar.mod1(F.col("woy"), period).cast("int"))
+    whole = rows.groupBy(*by).agg(F.avg("z").alias("_m"))
+    weeks = rows.sparkSession.range(1, period + 1).select(F.col("id").cast("int").alias("_w"))
+    bins = whole.crossJoin(F.broadcast(weeks)).join(rows.groupBy(*by, "_w").agg(F.avg("z").alias("_v")), [*by, "_w"], "left")
+    raw = bins.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_w", F.coalesce("_v", "_m").alias("v")))), lambda x: x["v"]).alias("raw"))
+    every = F.sequence(F.lit(0), F.lit(period - 1))
+    far = lambda i, j: F.least(F.pmod(i - j, F.lit(period)), F.pmod(j - i, F.lit(period)))
+    cell = lambda i, j: F.when(i == j, 1 + 6 * penalty).when(far(i, j) == 1, -4.0 * penalty).when(far(i, j) == 2, 1.0 * penalty).otherwise(0.0)
+    matrix = F.transform(every, lambda i: F.concat(F.transform(every, lambda j: cell(i, j)), F.array(F.get("raw", i))))
+    return raw.select(*by, F.posexplode(linear.solved(matrix, period)).alias("k", "c")).select(*by, (F.col("k") + 1).alias("woy"), "c")

@@ -10,7 +10,7 @@ from panelcast.functions.distributions import LEVELS, NORMAL
 from panelcast.operators import features, fit, panel, quantiles, simulate, vintage
 from panelcast.sources.files import read_table
 
-EVERY, FIRST, HORIZONS = 13, 156, [1, 2, 3, 4]
+FIRST, HORIZONS = 156, [1, 2, 3, 4]
 CUT = "2024-01-24"
 
 
@@ -24,12 +24,8 @@ def logged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def origins(spark: SparkSession, d: str) -> DataFrame:
-    return panel.origins(weekly(spark, d), EVERY, FIRST)
-
-
-def all_origins(spark: SparkSession, d: str) -> DataFrame:
-    """Every week from the FIRST on. ORIGINS, and with it each query that has SQL, takes every EVERY-th only."""
-    return panel.origins(weekly(spark, d), 1, FIRST)
+    """Every week from the FIRST on."""
+    return panel.origins(weekly(spark, d), FIRST)
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +78,7 @@ def sql_woy(d: str) -> str:
 
 PANEL = f"""p0 AS (SELECT l_returnflag AS location, CAST(date_trunc('week', l_shipdate) AS DATE) + 5 AS week, sum(l_quantity) / 1000.0 AS y FROM lineitem GROUP BY 1, 2),
 p AS (SELECT location, week, y, dense_rank() OVER (ORDER BY week)::INTEGER AS t, (CASE WHEN month(week) >= 10 THEN year(week) ELSE year(week) - 1 END)::INTEGER AS season_year, {sql_woy('week')} AS woy, ln(greatest(y, 1e-4)) AS z FROM p0)"""
-ORIGINS = f"""o AS (SELECT week AS origin, row_number() OVER (ORDER BY week)::INTEGER AS split FROM (SELECT DISTINCT t, week FROM p) WHERE t >= {FIRST} AND t % {EVERY} = 0)"""
+ORIGINS = f"""o AS (SELECT week AS origin, row_number() OVER (ORDER BY week)::INTEGER AS split FROM (SELECT DISTINCT t, week FROM p) WHERE t >= {FIRST})"""
 TRUTH = "truth AS (SELECT location, week AS target_week, y AS truth FROM p)"
 TRIANGLE = """tri0 AS (SELECT event_type AS location, CAST(ts AS DATE) AS day, CAST(regexp_extract(props, '"k"\\s*:\\s*(\\d+)', 1) AS INTEGER) % 8 AS d, sum(value + 0.0) AS v FROM events GROUP BY 1, 2, 3),
 ver AS (SELECT location, day, day + d AS as_of, round(sum(v) OVER (PARTITION BY location, day ORDER BY d), 6) AS value FROM tri0)"""
@@ -109,3 +105,23 @@ sc AS (SELECT model, location, origin, horizon, target_week,
   (sum(CASE WHEN level < 500 THEN greatest(truth - m.hi, 0) ELSE 0 END) + 0.5 * max(CASE WHEN level = 500 THEN greatest(truth - value, 0) END)) / 11.5 AS underprediction, count(*) AS n_quantiles
   FROM ft LEFT JOIN (SELECT model, location, origin, horizon, 1000 - level AS level, value AS hi FROM f WHERE level > 500) m USING (model, location, origin, horizon, level)
   GROUP BY model, location, origin, horizon, target_week)"""
+
+
+def sql_system(xs: list[str], y: str, weight: str = "1.0", penalties: list[str] | None = None) -> str:
+    """Aggregates `m` (augmented Gram matrix as nested lists), `yy`, `sw`, `n` of a weighted regression of y on xs."""
+    pen = penalties or ["0.0"] * len(xs)
+    cell = lambda i, j: f"sum({weight} * {xs[i]} * {xs[j]})" + (f" + {pen[i]}" if i == j else "")
+    rows = ", ".join("[" + ", ".join([*(cell(i, j) for j in range(len(xs))), f"sum({weight} * {xs[i]} * {y})"]) + "]" for i in range(len(xs)))
+    return f"[{rows}] AS m, sum({weight} * {y} * {y}) AS yy, sum({weight} * 1.0) AS sw, count(*) AS n"
+
+
+def sql_solve(name: str, source: str, by: str) -> str:
+    """CTEs that solve the systems `m` of source by elimination: name(by, coef)."""
+    return f"""{name}_e AS (SELECT {by}, 1 AS k, m FROM {source}
+ UNION ALL SELECT {by}, k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda x: x / m[k][k]) ELSE list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM {name}_e WHERE k <= len(m)),
+{name} AS (SELECT {by}, list_transform(m, lambda r: r[len(m) + 1]) AS coef FROM {name}_e WHERE k = len(m) + 1)"""
+
+
+def sql_sse(source: str = "s", coef: str = "coef") -> str:
+    """Residual sum of squares of a system without penalties under coef."""
+    return f"greatest({source}.yy - list_sum(list_transform(range(1, len({coef}) + 1), lambda i: {coef}[i] * (2 * {source}.m[i][len({coef}) + 1] - list_sum(list_transform(range(1, len({coef}) + 1), lambda j: {source}.m[i][j] * {coef}[j]))))), 0)"

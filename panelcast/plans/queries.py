@@ -79,7 +79,7 @@ def transform_roundtrip(spark, d):
 
 @query("SELECT CAST(k AS INTEGER) AS level, q AS z FROM (VALUES " + ", ".join(f"({k}, {round(q, 5)!r}::DOUBLE)" for k, q in NORMAL.items()) + ") v(k, q)")
 def normal_quantiles(spark, d):
-    levels = read_table(spark, d, "region").limit(1).select(F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("level"))
+    levels = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("level"))
     return rounded(levels.withColumn("z", distributions.normal_quantile(F.col("level") / 1000)), "z", digits=5)
 
 
@@ -361,7 +361,7 @@ def ar1_pooled_blend(spark, d):
     return rounded(out.select("origin", "location", "slope", "intercept"), "slope", "intercept")
 
 
-@query(f"WITH {PANEL}, {ORIGINS}, {AR1}, v AS (SELECT origin, location, slope, sd * sd / n AS var FROM fit1), t AS (SELECT *, greatest(var_samp(slope) OVER w - avg(var) OVER w, 1e-8) AS tau, avg(slope) OVER w AS m FROM v WINDOW w AS (PARTITION BY origin)) SELECT origin, location, round(m + tau / (tau + var) * (slope - m), 6) AS shrunk FROM t")
+@query(f"WITH {PANEL}, {ORIGINS}, {AR1}, v AS (SELECT origin, location, slope, sd * sd / n AS var FROM fit1), t AS (SELECT *, greatest(var_samp(slope) OVER w - avg(var) OVER w, 1e-8) AS tau, avg(var) OVER w AS vb, avg(slope) OVER w AS m FROM v WINDOW w AS (PARTITION BY origin)) SELECT origin, location, round(m + tau / (tau + vb) * (slope - m), 6) AS shrunk FROM t")
 def js_shrink(spark, d):
     fits = fit.ar1(panel.expanding(features.lags(base.logged(spark, d), "z", 1, ["location"]), base.origins(spark, d)), ["origin", "location"])
     rows = fits.withColumn("var", F.col("sd") * F.col("sd") / F.col("n"))
@@ -579,9 +579,9 @@ def missing_truth(spark, d):
     return scoring.missing_truth(base.forecasts(spark, d), base.truth(spark, d))
 
 
-@query(f"WITH {FORECASTS}, e AS (SELECT DISTINCT week AS origin FROM p WHERE t >= 150 AND t % 13 = 0), g AS (SELECT DISTINCT origin FROM f) SELECT origin, 'missing' AS side FROM e WHERE origin NOT IN (SELECT origin FROM g) UNION ALL SELECT origin, 'extra' FROM g WHERE origin NOT IN (SELECT origin FROM e WHERE origin IS NOT NULL)")
+@query(f"WITH {FORECASTS}, e AS (SELECT DISTINCT week AS origin FROM p WHERE t >= 150), g AS (SELECT DISTINCT origin FROM f) SELECT origin, 'missing' AS side FROM e WHERE origin NOT IN (SELECT origin FROM g) UNION ALL SELECT origin, 'extra' FROM g WHERE origin NOT IN (SELECT origin FROM e WHERE origin IS NOT NULL)")
 def coverage_gap_anti(spark, d):
-    expected = base.weekly(spark, d).filter("t >= 150 AND t % 13 = 0").select(F.col("week").alias("origin"))
+    expected = base.weekly(spark, d).filter("t >= 150").select(F.col("week").alias("origin"))
     return validation.coverage_gaps(expected, base.forecasts(spark, d), ["origin"])
 
 
@@ -643,51 +643,13 @@ def residual_by_location(spark, d):
 
 
 def _whole_history(spark, d):
-    return panel.expanding(base.logged(spark, d), base.all_origins(spark, d), strict=True)
-
-
-@query()
-def ar6_fit(spark, d):
-    return fit.fit_each(_whole_history(spark, d), ["origin", "location"], fit.ar(6), "coef array<double>, sd double, n int")
-
-
-@query()
-def ar_discounted(spark, d):
-    return fit.fit_each(base.logged(spark, d), ["location"], fit.ar(3, discount=0.99), "coef array<double>, sd double, n int")
-
-
-@query()
-def rls_fit(spark, d):
-    def run(y: np.ndarray) -> dict:
-        return {"coef": fit.recursive(*fit.design(y, 2), forget=0.99).tolist()}
-
-    return fit.fit_each(base.logged(spark, d), ["location"], run, "coef array<double>")
-
-
-@query()
-def ridge_direct(spark, d):
-    def run(y: np.ndarray) -> dict:
-        x, target = fit.design(y, 4, horizon=2)
-        b, c, sd = fit.standardised_ridge(x[:, 1:], target, 5.0)
-        return {"coef": b.tolist(), "constant": c, "sd": sd}
-
-    return fit.fit_each(_whole_history(spark, d), ["origin", "location"], run, "coef array<double>, constant double, sd double")
+    return panel.expanding(base.logged(spark, d), base.origins(spark, d), strict=True)
 
 
 def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.pivot_table(index="week", columns="location", values="z").sort_index().dropna()
 
 
-@query()
-def ridge_var(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = _wide(pdf)
-        b, sd = fit.vector_ridge(wide, 2, 10.0, cross_only=True)
-        return pd.DataFrame([(pdf["origin"].iloc[0], name, b[j].tolist(), float(sd[j])) for j, name in enumerate(wide.columns)], columns=["origin", "location", "coef", "sd"])
-
-    return _whole_history(spark, d).select("origin", "location", "week", "z").groupBy("origin").applyInPandas(run, "origin date, location string, coef array<double>, sd double")
-
-
 @query()
 def var_paths(spark, d):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -740,42 +702,9 @@ def nowcast_bootstrap(spark, d):
     return quantiles.from_sample(rows, ["location", "day"], F.col("value") * F.col("r"))
 
 
-@query()
-def whittaker(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        means = pdf.assign(w=(pdf["woy"] - 1) % 52 + 1).groupby("w")["z"].mean().reindex(range(1, 53)).fillna(pdf["z"].mean())
-        return pd.DataFrame({"location": pdf["location"].iloc[0], "woy": range(1, 53), "c": fit.whittaker(means.to_numpy(), 10.0)})
-
-    return base.logged(spark, d).select("location", "woy", "z").groupBy("location").applyInPandas(run, "location string, woy int, c double")
-
-
-@query()
-def cluster_profiles(spark, d):
-    """Clusters of locations by the correlation of their series: distances in Spark, the merges over a few locations here."""
-    pairs = diagnostics.correlations(base.logged(spark, d), "z").collect()
-    names = sorted({p.a for p in pairs} | {p.b for p in pairs})
-    distance = np.zeros((len(names), len(names)))
-    for p in pairs:
-        i, j = names.index(p.a), names.index(p.b)
-        distance[i, j] = distance[j, i] = 1 - p["corr"]
-    groups = spark.createDataFrame(list(zip(names, fit.average_linkage(distance, 2))), "location string, cluster int")
-    return base.logged(spark, d).join(F.broadcast(groups), "location").groupBy("cluster", "woy").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def partial_acf(spark, d):
-    acf = diagnostics.autocorrelation(base.logged(spark, d), ["location"], "z", 8)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        return pdf.assign(pacf=fit.partial_autocorrelation(pdf["acf"].to_numpy()))[["location", "lag", "pacf"]]
-
-    return acf.groupBy("location").applyInPandas(run, "location string, lag int, pacf double")
-
-
 @query()
 def bayes_draws(spark, d):
-    rows = panel.expanding(base.logged(spark, d), base.all_origins(spark, d))
+    rows = panel.expanding(base.logged(spark, d), base.origins(spark, d))
     draws = bayes.project(bayes.fit_splits(rows), 4)
     return draws.groupBy("origin", "location", "horizon").agg(F.avg("latent").alias("mean"), F.stddev_samp("latent").alias("sd"), F.avg((~(F.abs("latent") < float("inf"))).cast("double")).alias("bad"))
 
