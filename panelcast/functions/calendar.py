@@ -38,9 +38,9 @@ def circular_distance(a: Column, b: Column, period: int = 52) -> Column:
 
 
 def delay(reference: Column, known: Column, unit_days: int = 7, most: int | None = None) -> Column:
-    """Whole units from the reference date to the date at which a value was known."""
+    """Whole units from the reference date to the date at which a value was known, cut at `most`; null without a date."""
     n = F.floor(F.datediff(known, reference) / unit_days).cast("int")
-    return n if most is None else F.least(F.lit(most), n)
+    return n if most is None else F.when(n.isNotNull(), F.least(F.lit(most), n))
 
 
 def fourier(week: Column, harmonics: int, period: float = 52.0) -> list[Column]:
@@ -50,3 +50,11 @@ def fourier(week: Column, harmonics: int, period: float = 52.0) -> list[Column]:
         angle = F.lit(2.0 * 3.141592653589793 * k / period) * week
         out += [F.sin(angle), F.cos(angle)]
     return out
+
+
+def phase_label(woy: Column, upto: dict[int, str], rest: str) -> Column:
+    """The label of the first bound that the week doesn't pass."""
+    out = F.lit(rest)
+    for bound in sorted(upto, reverse=True):
+        out = F.when(woy <= bound, upto[bound]).otherwise(out)
+    return out

@@ -33,6 +33,11 @@ def student_t_quantile(p: float, df: int) -> float:
     return math.copysign(lo, p - 0.5)
 
 
+def student(df: int) -> dict[int, float]:
+    """Student's t quantiles at the levels."""
+    return {level: round(student_t_quantile(level / 1000, df), 9) for level in LEVELS}
+
+
 def normal_quantile(p: Column) -> Column:
     """The inverse normal distribution function for any p in (0, 1), as a Column: a start by a simple rational formula
     and Newton steps on the distribution function (a series), so no table is needed."""

@@ -75,6 +75,41 @@ def random_walk(rows: DataFrame, by: list[str], value: str = "z", time: str = "w
     return rows.groupBy(*by).agg(F.max_by(value, time).alias("last"), F.avg("_s").alias("drift"), F.sqrt(F.avg(F.col("_s") * F.col("_s"))).alias("sd"), F.count("_s").alias("n"))
 
 
+def damped_walk(rows: DataFrame, by: list[str], phi: float, value: str = "z", time: str = "week") -> DataFrame:
+    """by, anchor, slope (0), phi, sd: a random walk that goes back to 0 by phi a step (1: none)."""
+    e = F.col(value) - phi * F.lag(value).over(Window.partitionBy(*by).orderBy(time))
+    out = rows.withColumn("_e", e).groupBy(*by).agg(F.max_by(value, time).alias("anchor"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("sd"))
+    return out.withColumns({"slope": F.lit(0.0), "phi": F.lit(phi)})
+
+
+def local_line(rows: DataFrame, by: list[str], last: int, value: str = "z", time: str = "week") -> DataFrame:
+    """by, anchor, slope, phi (1), sd: the median slope of all pairs among the last values, and the root mean square of the
+    steps that it leaves."""
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(time)))
+    ends = rows.withColumn("_b", back).filter(F.col("_b") <= last)
+    got = ends.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("_b"), F.col(value).alias("v")))), lambda x: x["v"]).alias("v"))
+    pairs = F.flatten(F.transform("v", lambda a, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda b, j: (b - a) / (j + 1))))
+    slopes = got.select(*by, "v", F.explode(pairs).alias("s")).groupBy(*by, "v").agg(F.percentile("s", F.lit(0.5)).alias("slope"))
+    steps = F.transform(F.slice("v", F.lit(2), F.size("v") - 1), lambda b, i: b - F.get("v", i) - F.col("slope"))
+    square = F.aggregate(steps, F.lit(0.0), lambda t, x: t + x * x) / F.size(steps)
+    return slopes.select(*by, F.element_at("v", -1).alias("anchor"), "slope", F.lit(1.0).alias("phi"), F.sqrt(square).alias("sd"))
+
+
+def damped_level(series: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
+    """series with alpha, phi, level, sse: a level that is smoothed by alpha and goes back to the mean by phi a step."""
+    rows = series.withColumn("g", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(p).alias("phi")) for a, p in grid])))
+    mu = F.aggregate("ys", F.lit(0.0), lambda a, x: a + x) / F.size("ys")
+    rows = rows.select(*series.columns, "g.alpha", "g.phi", mu.alias("mu"))
+    zero = F.struct(F.element_at("ys", 1).alias("level"), F.lit(0.0).alias("sse"))
+
+    def step(s: Column, y: Column) -> Column:
+        ahead = F.col("mu") + F.col("phi") * (s["level"] - F.col("mu"))
+        return F.struct((ahead + F.col("alpha") * (y - ahead)).alias("level"), (s["sse"] + (y - ahead) * (y - ahead)).alias("sse"))
+
+    fold = F.aggregate(F.slice("ys", F.lit(2), F.greatest(F.size("ys") - 1, F.lit(0))), zero, step)
+    return rows.withColumn("f", fold).select(*rows.columns, "f.level", "f.sse")
+
+
 # linear systems, for one series (or panel) at a time
 
 

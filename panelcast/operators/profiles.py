@@ -49,6 +49,20 @@ def trimmed_weighted(history: DataFrame, by: list[str], decay: float = 0.8, trim
     return rows.withColumn("k", kept).groupBy(*by, "woy").agg((F.sum(F.col("k") * F.col("z")) / F.sum("k")).alias("c"))
 
 
+def robust(history: DataFrame, by: list[str], decay: float, trim: float, pooled: float, period: int = 52, width: int = 5) -> DataFrame:
+    """by, location, woy, c: trimmed weighted means by folded week, blended with the weighted means of all locations
+    (weight `pooled`), the mean of its weeks where a week has no rows, smoothed on the circle."""
+    folded = history.withColumn("woy", calendar.mod1(F.col("woy"), period).cast("int"))
+    own = trimmed_weighted(folded, [*by, "location"], decay, trim)
+    ago = F.max("season_year").over(Window.partitionBy(*by)) - F.col("season_year")
+    whole = folded.withColumn("_w", F.pow(F.lit(decay), ago)).groupBy(*by, "woy").agg((F.sum(F.col("_w") * F.col("z")) / F.sum("_w")).alias("q"))
+    mixed = own.join(whole, [*by, "woy"]).withColumn("c", (1 - pooled) * F.col("c") + pooled * F.col("q")).drop("q")
+    weeks = folded.sparkSession.range(1, period + 1).select(F.col("id").cast("int").alias("woy"))
+    overall = mixed.groupBy(*by, "location").agg(F.avg("c").alias("m"))
+    full = overall.crossJoin(F.broadcast(weeks)).join(mixed, [*by, "location", "woy"], "left").withColumn("c", F.coalesce("c", "m")).drop("m")
+    return circular_mean(full, "woy", "c", period, width, [*by, "location"])
+
+
 def fourier_shape(history: DataFrame, by: list[str], period: float = 52.0) -> DataFrame:
     """by, b_sin, b_cos: the first harmonic by least squares on demeaned values, from sums (a Gram matrix)."""
     s, c = calendar.fourier(F.col("woy"), 1, period)

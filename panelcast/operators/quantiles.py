@@ -5,10 +5,12 @@ The interchange table has model, location, origin, horizon, target_week, level (
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.functions import calendar, transforms
+from panelcast.functions import calendar, distributions, transforms
 from panelcast.functions.distributions import LEVELS, NORMAL
 
 TASK = ["model", "location", "origin", "horizon", "target_week"]
@@ -41,6 +43,22 @@ def band_history(history: DataFrame, targets: DataFrame, band: int = 2, period:
     return past.join(F.broadcast(wanted), ["location", "_w"]).filter(F.col("_d") < F.col("origin"))
 
 
+def band_or_all(history: DataFrame, targets: DataFrame, least: int, band: int = 2, period: int = 52) -> DataFrame:
+    """band_history with `banded`; targets whose band has fewer than `least` rows get the whole history before the origin."""
+    keys = ["location", "origin", "horizon", "target_week"]
+    near = band_history(history, targets, band, period).select(*keys, "y")
+    counts = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    known = targets.join(counts, keys, "left").withColumn("banded", F.coalesce("_n", F.lit(0)) >= least).drop("_n")
+    rest = history.select("location", F.col("week").alias("_d"), "y").join(known.filter("NOT banded"), "location").filter(F.col("_d") < F.col("origin"))
+    return near.join(known.filter("banded"), keys).select(*keys, "banded", "y").unionByName(rest.select(*keys, "banded", "y"))
+
+
+def student(points: DataFrame, df: int, scale: float) -> DataFrame:
+    """location, origin, horizon, level, value: point + sd * t, matched in variance, times scale."""
+    rows = points.withColumn("x", F.explode(level_table(distributions.student(df))))
+    return rows.select("location", "origin", "horizon", F.col("x.level").alias("level"), (F.col("point") + F.col("sd") * math.sqrt((df - 2) / df) * scale * F.col("x.q")).alias("value"))
+
+
 def ensemble(tables: DataFrame, how: str = "mean", model: str = "ensemble", weights: DataFrame | None = None) -> DataFrame:
     """Level by level: mean, median, or weighted mean (weights: model, weight; a row per model, broadcast)."""
     by = [c for c in [*TASK, "level"] if c != "model"]
@@ -57,11 +75,16 @@ def with_median(tables: DataFrame) -> DataFrame:
     return tables.withColumn("median", F.max(F.when(F.col("level") == 500, F.col("value"))).over(Window.partitionBy(*TASK)))
 
 
-def recalibrated(tables: DataFrame, shift: DataFrame, width: DataFrame) -> DataFrame:
-    """On the log1p scale: x' = median + shift + width * (x - median). shift and width: a row per horizon, broadcast."""
-    rows = with_median(tables).join(F.broadcast(shift), "horizon").join(F.broadcast(width), "horizon")
+def recalibrated(tables: DataFrame, shift: DataFrame, width: DataFrame, by_location: DataFrame | None = None) -> DataFrame:
+    """On the log1p scale: x' = median + shift + width * (x - median). shift and width: a row per horizon; by_location: a
+    further factor (location, width)."""
+    rows = with_median(tables).join(shift, "horizon").join(width, "horizon")
+    factor = F.col("width")
+    if by_location is not None:
+        rows = rows.join(by_location.withColumnRenamed("width", "_l"), "location")
+        factor = factor * F.col("_l")
     m = F.log1p("median")
-    moved = m + F.col("shift") + F.col("width") * (F.log1p("value") - m)
+    moved = m + F.col("shift") + factor * (F.log1p("value") - m)
     return rows.withColumn("value", F.greatest(F.expm1(moved), F.lit(0.0))).select(*tables.columns)
 
 
@@ -81,6 +104,32 @@ def fit_width(tables: DataFrame, truth: DataFrame, grid: list[float]) -> DataFra
     return means.groupBy("horizon").agg(F.min_by("width", F.struct(F.round("loss", 9), F.col("width"))).alias("width"))
 
 
+def _loss(x: Column, y: Column, level: Column) -> Column:
+    q = level / 1000
+    return F.when(y < x, (1 - q) * (x - y)).otherwise(q * (y - x))
+
+
+def fit_location_width(tables: DataFrame, truth: DataFrame, shift: DataFrame, width: DataFrame, grid: list[float]) -> DataFrame:
+    """location, width: the factor on top of the shifts and widths of the horizons with the least loss at the location."""
+    rows = with_median(tables).join(truth, ["location", "target_week"]).join(shift, "horizon").join(width.withColumnRenamed("width", "_h"), "horizon")
+    rows = rows.withColumn("width", F.explode(F.array(*[F.lit(g) for g in grid])))
+    m = F.log1p("median")
+    x = m + F.col("shift") + F.col("_h") * F.col("width") * (F.log1p("value") - m)
+    means = rows.groupBy("location", "width").agg(F.avg(_loss(x, F.log1p("truth"), F.col("level"))).alias("loss"))
+    return means.groupBy("location").agg(F.min_by("width", F.struct(F.round("loss", 9), F.col("width"))).alias("width"))
+
+
+def fit_width_without(tables: DataFrame, truth: DataFrame, grid: list[float]) -> DataFrame:
+    """season_year, horizon, width: the factor with the least loss over all other seasons, from each season's sums."""
+    rows = with_median(tables).join(truth, ["location", "target_week"]).withColumn("width", F.explode(F.array(*[F.lit(g) for g in grid])))
+    m = F.log1p("median")
+    x = m + F.col("width") * (F.log1p("value") - m)
+    sums = rows.groupBy(calendar.season_year(F.col("origin")).alias("season_year"), "horizon", "width").agg(F.sum(_loss(x, F.log1p("truth"), F.col("level"))).alias("s"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("horizon", "width")
+    rest = sums.withColumn("loss", (F.sum("s").over(w) - F.col("s")) / F.nullif(F.sum("n").over(w) - F.col("n"), F.lit(0))).filter("loss IS NOT NULL")
+    return rest.groupBy("season_year", "horizon").agg(F.min_by("width", F.struct(F.round("loss", 9), F.col("width"))).alias("width"))
+
+
 def conformal_pool(points: DataFrame, versions_known: DataFrame, scale: str) -> DataFrame:
     """Walk-forward errors: points (location, origin, horizon, target_week, point) mature at the first origin that is on or
     after the target and knows a version of it; the error is frozen there. Returns origin, horizon, error for every

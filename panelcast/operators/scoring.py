@@ -23,10 +23,16 @@ def checked_truth(truth: DataFrame) -> DataFrame:
     return truth.withColumn("truth", F.when(n == 1, F.col("truth")).otherwise(F.raise_error(F.lit("two truths for a task")).cast("double")))
 
 
+def guarded(truth: DataFrame, seasons: list[int]) -> DataFrame:
+    """The truth of the given seasons; a row of another one that gets through fails the job."""
+    kept = truth.na.drop(subset=["truth"]).filter(F.col("season_year").isin(seasons))
+    return kept.withColumn("truth", F.when(F.col("season_year").isin(seasons), F.col("truth")).otherwise(F.raise_error(F.lit("a season that is held out")).cast("double")))
+
+
 def scored(tables: DataFrame, truth: DataFrame, log: bool = False) -> DataFrame:
     """A row per task: wis, dispersion, overprediction, underprediction, n_quantiles. Levels must be symmetric and
     include the median, else the job fails. Tasks without truth are left out (see missing_truth)."""
-    rows = tables.join(F.broadcast(truth), ["location", "target_week"])
+    rows = tables.join(checked_truth(truth), ["location", "target_week"])
     v, y = (F.log1p("value"), F.log1p("truth")) if log else (F.col("value"), F.col("truth"))
     below, above, middle = F.col("level") < 500, F.col("level") > 500, F.col("level") == 500
     q = F.col("level") / 1000
@@ -54,13 +60,13 @@ def missing_truth(tables: DataFrame, truth: DataFrame) -> DataFrame:
 def covered(tables: DataFrame, truth: DataFrame, lower: int, upper: int, by: list[str]) -> DataFrame:
     """by, coverage, n: share of tasks whose truth lies between two levels; one conditional aggregate per task."""
     ends = tables.filter(F.col("level").isin(lower, upper)).groupBy(*TASK).agg(F.max(F.when(F.col("level") == lower, F.col("value"))).alias("lo"), F.max(F.when(F.col("level") == upper, F.col("value"))).alias("hi"))
-    rows = ends.join(F.broadcast(truth), ["location", "target_week"])
+    rows = ends.join(truth, ["location", "target_week"])
     return rows.groupBy(*by).agg(F.avg(F.col("truth").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
 def bias(tables: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """by, bias, log_bias of the median (forecast minus truth)."""
-    rows = tables.filter("level = 500").join(F.broadcast(truth), ["location", "target_week"])
+    rows = tables.filter("level = 500").join(truth, ["location", "target_week"])
     return rows.groupBy(*by).agg(F.avg(F.col("value") - F.col("truth")).alias("bias"), F.avg(F.log1p("value") - F.log1p("truth")).alias("log_bias"), F.count(F.lit(1)).alias("n"))
 
 

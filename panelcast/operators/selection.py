@@ -47,3 +47,24 @@ def net_positive(scores: DataFrame, base: str, candidate: str, tolerance: float
     short = [m(candidate, h) <= m(base, h) * (1 + tolerance) for h in (1, 2)]
     long = [m(candidate, h) < m(base, h) for h in (3, 4)]
     return scores.agg((short[0] & short[1] & (long[0] | long[1]) & (m(candidate) <= m(base))).alias("accepted"), m(base).alias("base_wis"), m(candidate).alias("candidate_wis"))
+
+
+def top(scores: DataFrame, k: int) -> DataFrame:
+    """The k models with the least mean score; ties by name."""
+    means = scores.groupBy("model").agg(F.avg("wis").alias("_w"))
+    return means.withColumn("_k", F.row_number().over(Window.orderBy("_w", "model"))).filter(F.col("_k") <= k).select("model")
+
+
+def tally(rows: DataFrame, column: str) -> DataFrame:
+    """column, n: how often each value is there, the most frequent first."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+
+
+def status(scores: DataFrame, expected: list[str]) -> DataFrame:
+    """model, status (ok, failed: fewer tasks than the others, missing), tasks, score (infinite unless ok)."""
+    have = scores.groupBy("model").agg(F.count(F.lit(1)).alias("tasks"), F.avg("wis").alias("w"))
+    most = have.agg(F.max("tasks").alias("most"))
+    names = scores.sparkSession.createDataFrame([(m,) for m in expected], "model string")
+    rows = names.join(have, "model", "left").crossJoin(F.broadcast(most))  # one row
+    state = F.when(F.col("tasks").isNull(), "missing").when(F.col("tasks") < F.col("most"), "failed").otherwise("ok")
+    return rows.select("model", state.alias("status"), F.coalesce("tasks", F.lit(0)).alias("tasks"), F.when(state == "ok", F.col("w")).otherwise(F.lit(float("inf"))).alias("score"))

@@ -30,6 +30,20 @@ def point_path(last: Column, slope: Column, intercept: Column, steps: Column) ->
     return F.aggregate(F.sequence(F.lit(1), steps), last, lambda m, _: intercept + slope * m)
 
 
+def walk_ahead(fits: DataFrame, horizons: list[int]) -> DataFrame:
+    """fits (anchor, slope, phi, sd) with horizon, mean, sd_h: phi^h * anchor + h * slope, sd * sqrt(sum of phi^(2i))."""
+    rows = fits.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    spread = F.aggregate(F.sequence(F.lit(1), F.col("horizon")), F.lit(0.0), lambda s, _: 1 + F.col("phi") * F.col("phi") * s)
+    return rows.withColumns({"mean": F.pow("phi", "horizon") * F.col("anchor") + F.col("slope") * F.col("horizon"), "sd_h": F.col("sd") * F.sqrt(spread)})
+
+
+def damped_blend(point: Column, last: Column, drift: Column, horizon: Column, most: int, phi: float, weight: float) -> Column:
+    """The point and a damped trend from the last value, with a weight for the latter that grows from 0 to `weight`."""
+    trend = last + drift * F.aggregate(F.sequence(F.lit(1), horizon), F.lit(0.0), lambda s, _: (s + 1) * phi)
+    w = weight * (horizon - 1) / (most - 1)
+    return (1 - w) * point + w * trend
+
+
 def innovations(rng: np.random.Generator, kind: str, sd: float, shape: tuple, df: int = 10, scale: float = 1.0, residuals: np.ndarray | None = None) -> np.ndarray:
     """Gaussian, Student-t matched in variance (times scale), or drawn from residuals."""
     if kind == "gaussian":
@@ -74,6 +88,22 @@ def analogue_paths(y: np.ndarray, length: int, horizon: int, n: int, rng: np.ran
     return y[-1] + ahead + rng.normal(0, jitter, (n, 1))
 
 
+def nowcast_paths(y: np.ndarray, coef: np.ndarray, noise: np.ndarray, changes: list[np.ndarray | None], rng: np.random.Generator) -> np.ndarray:
+    """Paths of an autoregression whose last values are still revised: on every path each of them is moved by a change
+    drawn from its own past ones (changes: the last value first; None for a settled value), and the recursion goes on
+    from there, so that the doubt about the present carries into every horizon."""
+    p = len(coef) - 1
+    tail = np.tile(y[-p:][::-1], (len(noise), 1))
+    for k, past in enumerate(changes[:p]):
+        if past is not None and len(past):
+            tail[:, k] += rng.choice(past, len(noise))
+    out = np.empty_like(noise)
+    for h in range(noise.shape[1]):
+        out[:, h] = coef[0] + tail @ coef[1:] + noise[:, h]
+        tail = np.column_stack([out[:, h], tail[:, :-1]])
+    return out
+
+
 def simulate_each(rows: DataFrame, by: list[str], make: Callable[[np.ndarray, np.random.Generator], np.ndarray], levels: list[int], back: Callable[[np.ndarray], np.ndarray], value: str = "z", time: str = "week") -> DataFrame:
     """by, horizon, level, value: quantiles of make()'s paths on the modelling scale, then back to the natural one and cut
     at zero. One group per series; the seed comes from its key."""

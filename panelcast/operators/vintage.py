@@ -93,3 +93,36 @@ def corrected(values: DataFrame, profile: DataFrame, max_delay: int, mode: str =
     use = F.col("delay").between(0, max_delay) & F.col("_c").isNotNull() & F.col("value").isNotNull()
     moved = F.col("value") + F.col("_c") if mode == "additive" else F.col("value") * F.col("_c")
     return joined.withColumn("corrected", F.when(use, moved).otherwise(F.col("value"))).drop("_c")
+
+
+def revised(versions: DataFrame) -> DataFrame:
+    """The versions of days that have several, with their number."""
+    return versions.withColumn("versions", F.count(F.lit(1)).over(Window.partitionBy(*KEY))).filter("versions > 1")
+
+
+def known_at(versions: DataFrame, origin_table: DataFrame) -> DataFrame:
+    """location, origin, day, value: for every origin the latest version of each day that is known by then. Each version
+    holds from its own date to the next one's, so that it meets its origins only."""
+    until = F.lead("as_of").over(Window.partitionBy(*KEY).orderBy("as_of"))
+    spans = versions.withColumn("_until", until)
+    holds = (F.col("origin") >= F.col("as_of")) & (F.col("_until").isNull() | (F.col("origin") < F.col("_until")))
+    return spans.join(origin_table.select("origin"), holds).select("location", "origin", "day", "value")
+
+
+def walk(known: DataFrame, least: int) -> DataFrame:
+    """location, origin, point (last z), sd (root mean square step) from (location, origin, day, z)."""
+    rows = known.withColumn("_e", F.col("z") - F.lag("z").over(Window.partitionBy("location", "origin").orderBy("day")))
+    out = rows.groupBy("location", "origin").agg(F.max_by("z", "day").alias("point"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("sd"), F.count("_e").alias("_n"))
+    return out.filter(F.col("_n") >= least).drop("_n")
+
+
+def change_sets(rows: DataFrame, keys: DataFrame, min_support: int = 8) -> DataFrame:
+    """keys (location, delay, phase) with tier and `changes`: the distribution of the past changes of the finest tier with
+    enough of them, as 200 even quantiles, so that its size doesn't grow with the history."""
+    out = keys
+    levels = [("own", ["location", "delay", "phase"]), ("location", ["location", "delay"]), ("pooled", ["delay"])]
+    for name, by in levels:
+        got = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile("change", F.array(*[F.lit((k + 0.5) / 200) for k in range(200)])).alias(f"q_{name}")).filter(F.col("_n") >= min_support).drop("_n")
+        out = out.join(got, by, "left")
+    tier = F.when(F.col("q_own").isNotNull(), "own").when(F.col("q_location").isNotNull(), "location").when(F.col("q_pooled").isNotNull(), "pooled").otherwise("none")
+    return out.select(*keys.columns, tier.alias("tier"), F.coalesce(*[f"q_{n}" for n, _ in levels]).alias("changes"))

@@ -21,6 +21,9 @@ from panelcast.streaming import revisions
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Paths of a simulation.
+PATHS = 1000
+
 
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL."""
@@ -656,7 +659,7 @@ def var_paths(spark, d):
         wide = _wide(pdf)
         b, sd = fit.vector_ridge(wide, 2, 10.0)
         rng = np.random.default_rng(simulate.seed_of(pdf["origin"].iloc[0]))
-        paths = simulate.joint_paths(wide.to_numpy(), b, rng.normal(0, sd, (500, 4, len(sd))), 2)
+        paths = simulate.joint_paths(wide.to_numpy(), b, rng.normal(0, sd, (PATHS, 4, len(sd))), 2)
         return pd.DataFrame([(pdf["origin"].iloc[0], name, h + 1, float(np.exp(np.median(paths[:, h, j])))) for j, name in enumerate(wide.columns) for h in range(4)], columns=["origin", "location", "horizon", "median"])
 
     return _whole_history(spark, d).select("origin", "location", "week", "z").groupBy("origin").applyInPandas(run, "origin date, location string, horizon int, median double")
@@ -666,7 +669,7 @@ def _ar_maker(kind: str):
     def make(y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         x, target = fit.design(y, 6)
         b, sd = fit.least_squares(x, target)
-        noise = simulate.innovations(rng, kind, sd, (500, 4), scale=1.4 if kind == "student" else 1.0, residuals=target - x @ b)
+        noise = simulate.innovations(rng, kind, sd, (PATHS, 4), scale=1.4 if kind == "student" else 1.0, residuals=target - x @ b)
         return simulate.ar_paths(y, b, noise)
 
     return make
@@ -689,35 +692,49 @@ def bootstrap_paths(spark, d):
 
 @query()
 def analogue_paths(spark, d):
-    return simulate.simulate_each(_whole_history(spark, d), ["origin", "location"], lambda y, rng: simulate.analogue_paths(y, 8, 4, 500, rng), LEVELS, np.exp)
+    return simulate.simulate_each(_whole_history(spark, d), ["origin", "location"], lambda y, rng: simulate.analogue_paths(y, 8, 4, PATHS, rng), LEVELS, np.exp)
 
 
-@query()
-def nowcast_bootstrap(spark, d):
-    """Quantiles of the settled value of days that are still revised: the known value times drawn past ratios."""
+def _nowcast_parts(spark, d):
+    """Per location the known series, newest last, with the distributions of the changes of the values still revised."""
     v = base.versions(spark, d)
-    ratios = vintage.revisions(v, _cut(), mode="multiplicative").groupBy("location", "delay").agg(F.collect_list("change").alias("ratios"))
+    rows = vintage.phased(vintage.revisions(v, _cut()), vintage.phases(v))
     known = vintage.as_of(v, _cut()).select("location", "day", "value", F.datediff(_cut(), "day").alias("delay"))
-    rows = known.join(F.broadcast(ratios), ["location", "delay"]).select("location", "day", "value", F.explode("ratios").alias("r"))
-    return quantiles.from_sample(rows, ["location", "day"], F.col("value") * F.col("r"))
+    before = F.lag("value", 3).over(Window.partitionBy("location").orderBy("day"))
+    known = known.withColumn("phase", F.when(F.col("value") < before, "falling").otherwise("rising"))
+    return known.join(vintage.change_sets(rows, known.select("location", "delay", "phase").distinct()), ["location", "delay", "phase"])
 
 
 @query()
-def bayes_draws(spark, d):
-    rows = panel.expanding(base.logged(spark, d), base.origins(spark, d))
-    draws = bayes.project(bayes.fit_splits(rows), 4)
-    return draws.groupBy("origin", "location", "horizon").agg(F.avg("latent").alias("mean"), F.stddev_samp("latent").alias("sd"), F.avg((~(F.abs("latent") < float("inf"))).cast("double")).alias("bad"))
+def nowcast_bootstrap(spark, d):
+    """Quantiles of autoregressive paths on the natural scale, each from its own draw of the values that are still revised."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        y, name = pdf["value"].to_numpy(float), pdf["location"].iloc[0]
+        rng = np.random.default_rng(simulate.seed_of(name))
+        x, target = fit.design(y, 3)
+        b, sd = fit.least_squares(x, target)
+        changes = [np.array(c) if c is not None and delay < 7 else None for c, delay in zip(pdf["changes"][::-1], pdf["delay"][::-1])]
+        paths = simulate.nowcast_paths(y, b, rng.normal(0, sd, (PATHS, 4)), changes, rng)
+        q = np.quantile(paths, np.array(LEVELS) / 1000, axis=0)
+        return pd.DataFrame([(name, h + 1, level, max(float(q[i, h]), 0.0)) for h in range(4) for i, level in enumerate(LEVELS)], columns=["location", "horizon", "level", "value"])
 
+    return _nowcast_parts(spark, d).groupBy("location").applyInPandas(run, "location string, horizon int, level int, value double")
 
-@query()
-def stream_windows(spark, d):
-    """Daily windows of the events, read as a stream and run to its end."""
-    schema = read_table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
-    return _drain(spark, revisions.windowed(rows), "complete", "panelcast_windows")
+
+@query(f"""WITH {REV}, first AS (SELECT location, day, arg_min(value, as_of) AS v FROM ver GROUP BY 1, 2),
+ph AS (SELECT * FROM (SELECT location, day, CASE WHEN v >= lag(v, 3) OVER w THEN 'rising' WHEN v < lag(v, 3) OVER w THEN 'falling' END AS phase FROM first WINDOW w AS (PARTITION BY location ORDER BY day)) WHERE phase IS NOT NULL), r AS (SELECT rv.*, phase FROM rv JOIN ph USING (location, day)),
+x AS (SELECT location, day, arg_max(value, as_of) AS value, (DATE '{CUT}' - day)::INTEGER AS delay FROM ver WHERE as_of <= DATE '{CUT}' GROUP BY 1, 2), y AS (SELECT *, CASE WHEN value < lag(value, 3) OVER (PARTITION BY location ORDER BY day) THEN 'falling' ELSE 'rising' END AS phase FROM x),
+c1 AS (SELECT location, delay, phase, count(*) AS n FROM r GROUP BY 1, 2, 3), c2 AS (SELECT location, delay, count(*) AS n FROM r GROUP BY 1, 2), c3 AS (SELECT delay, count(*) AS n FROM r GROUP BY 1)
+SELECT y.location, y.day, y.phase, CASE WHEN c1.n >= 8 THEN 'own' WHEN c2.n >= 8 THEN 'location' WHEN c3.n >= 8 THEN 'pooled' ELSE 'none' END AS tier FROM y LEFT JOIN c1 USING (location, delay, phase) LEFT JOIN c2 USING (location, delay) LEFT JOIN c3 USING (delay)""")
+def nowcast_tiers(spark, d):
+    """Which distribution of changes each known value draws from."""
+    return _nowcast_parts(spark, d).select("location", "day", "phase", "tier")
 
 
-def _drain(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+@query()
+def bayes_draws(spark, d):
+    rows = panel.expanding(base.logged(spark, d), base.origins(spark, d))
+    draws = bayes.project(bayes.fit_splits(rows), 4)
+    return draws.groupBy("origin", "location", "horizon").agg(F.avg("latent").alias("mean"), F.stddev_samp("latent").alias("sd"), F.avg((~(F.abs("latent") < float("inf"))).cast("double")).alias("bad"))

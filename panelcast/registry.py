@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelcast.plans import fits  # noqa: F401
+from panelcast.plans import fits, reports  # noqa: F401
 from panelcast.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -3,21 +3,46 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from panelcast.functions import calendar
 
 #: Schemas of the interchange files.
 SERIES = "location string, origin_date date, wili double"
 VERSIONS = "location string, origin_date date, as_of date, wili double"
-FORECAST = ["location", "origin_date", "horizon", "target_end_date", "target", "output_type", "output_type_id", "value"]
-FORECAST_SCHEMA = "location string, origin_date date, horizon int, target_end_date date, target string, output_type string, output_type_id double, value double"
+FORECAST = ["origin_date", "location", "target", "horizon", "target_end_date", "output_type", "output_type_id", "value"]
+FORECAST_SCHEMA = "origin_date date, location string, target string, horizon int, target_end_date date, output_type string, output_type_id double, value double"
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """Without the leading dots that some names have in their files."""
+    return df.toDF(*[c.lstrip(".") for c in df.columns])
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV table with header; NA and empty are null. Names may have a leading dot in the file."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
+    """The columns of schema, found by name in a CSV table with a header; NA and empty are null. Columns in another order or
+    more of them do no harm, one that is missing fails. Names may have a leading dot in the file."""
+    rows = plain_names(spark.read.option("header", True).option("nullValue", "NA").csv(path))
+    wanted = StructType.fromDDL(schema)
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in wanted])
+
+
+def seasoned(df: DataFrame, day: str = "origin_date") -> DataFrame:
+    """With season_year (from the 205th day of the year on) and the week's rank in its season."""
+    rows = df.withColumn("season_year", calendar.summer_season_year(F.col(day)))
+    weeks = rows.select("season_year", day).distinct().withColumn("woy", F.row_number().over(Window.partitionBy("season_year").orderBy(day)))
+    return rows.join(weeks, ["season_year", day])
+
+
+def read_versions(spark: SparkSession, path: str, last_season: int) -> DataFrame:
+    """Versions up to a season, with the season and the delay in weeks, rounded."""
+    rows = read_csv(spark, path, VERSIONS).withColumn("season_year", calendar.summer_season_year(F.col("origin_date")))
+    return rows.filter(F.col("season_year") <= last_season).withColumn("delay", F.round(F.datediff("as_of", "origin_date") / 7).cast("int"))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,11 +56,19 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_forecasts(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files below a folder, with model_id and the origin of the file's name."""
-    rows = read_csv(spark, f"{folder}/*/*.csv", FORECAST_SCHEMA).withColumn("file", F.col("_metadata.file_name"))
+    """All CSV files below a folder, with model_id and the origin of the file's name. The files must have the columns in the
+    fixed order (validation.headers names those that don't): one that has another order fails the job."""
+    rows = spark.read.schema(FORECAST_SCHEMA).option("header", True).option("enforceSchema", False).option("nullValue", "NA").csv(f"{folder}/*/*.csv").withColumn("file", F.col("_metadata.file_name"))
     return rows.withColumns({"model_id": F.regexp_extract("file", r"^\d{4}-\d{2}-\d{2}-(.+)\.csv$", 1), "file_origin": F.expr("try_to_date(regexp_extract(file, '^([0-9]{4}-[0-9]{2}-[0-9]{2})-', 1))")})
 
 
+def read_model(spark: SparkSession, path: str, model_id: str) -> DataFrame:
+    """One model's table; model_id is the file's own column where it has one."""
+    rows = plain_names(spark.read.option("header", True).option("nullValue", "NA").csv(path))
+    name = F.col("model_id") if "model_id" in rows.columns else F.lit(model_id)
+    return rows.select(name.alias("model_id"), *[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(FORECAST_SCHEMA)])
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     """One row: origin_dates, locations, horizons, target, levels of a hub's tasks file."""
     task = F.col("rounds")[0]["model_tasks"][0]
@@ -85,6 +118,20 @@ def read_metadata(path: str) -> dict[str, str]:
     return {k.strip(): v.strip().strip("'\"") for k, v in rows}
 
 
+def check_metadata(path: str, model_id: str) -> list[str]:
+    """What is wrong with a model's YAML file: names of letters, digits, _ and + of up to 25 characters that make up the
+    model's id, and a flag."""
+    if not Path(path).is_file():
+        return ["no file"]
+    found = read_metadata(path)
+    out = [f"{key} is missing or malformed" for key in ("team_abbr", "model_abbr") if not re.fullmatch(r"[a-zA-Z0-9_+]{1,25}", found.get(key, ""))]
+    if found.get("designated_model") not in ("true", "false"):
+        out.append("designated_model is no flag")
+    if not out and f"{found['team_abbr']}-{found['model_abbr']}" != model_id:
+        out.append("names don't make up the model's id")
+    return out
+
+
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What a resumed run still has to do."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")

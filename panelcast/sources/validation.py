@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.distributions import LEVELS
@@ -22,8 +22,6 @@ def validate(table: DataFrame, locations: list[str], horizons: list[int], origin
     level_array = F.array(*[F.lit(x) for x in levels])
     by_horizon = table.groupBy("file", "location").agg(F.sort_array(F.collect_set("horizon")).alias("hs"))
     pairs = table.select("file", "location", "horizon", F.col("level").alias("l"), F.col("value").alias("v"))
-    from pyspark.sql import Window
-
     before = F.lag("v").over(Window.partitionBy("file", "location", "horizon").orderBy("l"))
     rules = [
         _fault(table.filter(F.col("file_origin").isNull()), "file name", F.col("file")),
@@ -55,3 +53,19 @@ def complete(expected: DataFrame, produced: DataFrame, keys: list[str]) -> DataF
     if n:
         raise ValueError(f"{n} of the expected {', '.join(keys)} are missing")
     return produced
+
+
+def drift(config: DataFrame, table: DataFrame) -> DataFrame:
+    """kind, item, side: locations and horizons that the configuration names and the table lacks, or the other way round."""
+    items = lambda c, kind: c.select(F.lit(kind).alias("kind"), F.col("item").cast("string").alias("item"))
+    named = items(config.select(F.explode("locations").alias("item")), "location").unionByName(items(config.select(F.explode("horizons").alias("item")), "horizon"))
+    there = items(table.select(F.col("location").alias("item")), "location").unionByName(items(table.select(F.col("horizon").alias("item")), "horizon"))
+    return coverage_gaps(named, there, ["kind", "item"])
+
+
+def headers(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """Faults (file, rule, detail) of the CSV files below a folder whose first line isn't the columns in their order."""
+    wanted = ",".join(columns)
+    lines = spark.read.text(f"{folder}/*/*.csv", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.substring_index("value", "\n", 1).alias("line"))
+    line = F.regexp_replace(F.trim(F.regexp_replace("line", "\r", "")), '"', "")
+    return lines.withColumn("line", line).filter(F.col("line") != wanted).select("file", F.lit("columns").alias("rule"), F.col("line").alias("detail"))
