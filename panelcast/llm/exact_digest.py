@@ -2,8 +2,10 @@
 
 A text's canonical form: Unicode compatibility composition (NFKC), full case folding, NFKC again, runs of white
 space as one blank, none at the ends. Its fingerprint is 128 bits: two xxhash64 values over the canonical form
-that start from different seeds. Rows with equal fingerprints are compared byte by byte (the classes are grouped
-by fingerprint and canonical form, pre-aggregated before the shuffle), so a collision never joins two texts.
+that start from different seeds. Rows with equal fingerprints are compared byte by byte: the classes are grouped
+by fingerprint and canonical form (pre-aggregated before the shuffle), and likenesses compare the forms themselves
+where fingerprints are equal. So a collision never joins two texts. What a class found is carried to its rows by the
+fingerprint and the SHA-256 of the form; should these not tell two forms apart either, the job fails.
 
 Normalisation and folding are the JVM's own ICU functions, which Spark brings along, called through the SQL
 function `reflect`.
@@ -35,17 +37,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """fingerprint, sha (of the canonical form), class_id (smallest id), n_docs: one row for each canonical form."""
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("canon"))
     rows = rows.select("doc_id", "canon", digest(F.col("canon")).alias("fingerprint"))
-    return rows.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs")).select("fingerprint", F.unhex(F.sha2("canon", 256)).alias("sha"), "class_id", "n_docs")
+    forms = rows.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"))
+    told = forms.select("fingerprint", F.unhex(F.sha2("canon", 256)).alias("sha"), "class_id", "n_docs")
+    n = F.count(F.lit(1)).over(Window.partitionBy("fingerprint", "sha"))
+    return told.withColumn("n_docs", F.when(n == 1, F.col("n_docs")).otherwise(F.raise_error(F.lit("two forms with equal digests")).cast("long")))
 
 
-def _ranges(docs: DataFrame, range_mb: int, knots: int) -> tuple[Column, DataFrame]:
-    """The range of ids that a row falls in, as a column, and where the largest row of each range goes as well.
-
-    Ids are cut at up to `knots` quantiles and between two of them evenly, so that a range holds some range_mb MB.
-    What comes to the driver is one row a range."""
+def _ranges(docs: DataFrame, range_mb: float, knots: int) -> tuple[Column, int]:
+    """(the range of ids that a row falls in, as a column; the number of ranges at most). Ids are cut at up to `knots`
+    quantiles and between two of them evenly, so that a range holds some range_mb MB. The driver gets the quantiles."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.percentile_approx("doc_id", [i / knots for i in range(1, knots + 1)], 10_000).alias("q"), F.min("doc_id").alias("lo")).first()
     ends = sorted(set(size.q or [0]))
-    parts = max(1, -(-(size.b or 0) // (len(ends) * range_mb * 1_000_000)))
+    parts = int((size.b or 0) / (len(ends) * range_mb * 1_000_000)) + 1
     starts = [size.lo or 0, *[e + 1 for e in ends[:-1]]]
 
     def tree(lo: int, hi: int) -> Column:
@@ -56,37 +59,49 @@ def _ranges(docs: DataFrame, range_mb: int, knots: int) -> tuple[Column, DataFra
         mid = (lo + hi) // 2
         return F.when(F.col("doc_id") <= F.lit(ends[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    bucket = tree(0, len(ends) - 1)
-    tops = sorted((r.bucket, r.top) for r in docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
-    goes = [(top, int(tops[(k + 1) % len(tops)][0])) for k, (_, top) in enumerate(tops)]
-    return bucket, docs.sparkSession.createDataFrame(goes, "top long, goes long")
+    # null ids come last in a descending order
+    return F.coalesce(F.when(F.col("doc_id").isNotNull(), tree(0, len(ends) - 1)), F.lit(-1).cast("long")), len(ends) * parts
 
 
-def with_next(docs: DataFrame, payload: list[str], range_mb: int = 8, knots: int = 64) -> DataFrame:
-    """docs (doc_id, text and payload) with next_* of the next row by descending doc_id, the last one's being the
-    first row. One shuffle by ranges of ids; the largest row of each range is also sent, marked, to the range
-    above it (the very largest to the lowest), where it is the last one's next."""
-    bucket, goes = _ranges(docs, range_mb, knots)
-    rows = docs.withColumn("bucket", bucket).join(F.broadcast(goes), F.col("doc_id") == F.col("top"), "left")
-    both = F.when(F.col("goes").isNull(), F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra")), F.struct(F.col("goes").alias("bucket"), F.lit(1).alias("extra"))))
-    dealt = rows.withColumn("to", F.explode(both)).select("doc_id", "text", *payload, F.col("to.bucket").alias("bucket"), F.col("to.extra").alias("extra"))
-    w = Window.partitionBy("bucket").orderBy("extra", F.desc("doc_id"), "text")
-    return dealt.select("doc_id", "text", *payload, "extra", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *payload)]).filter("extra = 0").drop("extra")
+def _below(buckets: DataFrame, block: int = 4096) -> DataFrame:
+    """bucket, lower: the next lower of the buckets that are there; of the lowest the highest. In blocks of numbers, so that
+    one window over all has a row for each block only."""
+    rows = buckets.withColumn("_block", F.floor(F.col("bucket") / block))
+    tops = rows.groupBy("_block").agg(F.max("bucket").alias("_top"))
+    order = Window.orderBy("_block")
+    before = tops.select("_block", F.coalesce(F.lag("_top").over(order), F.max("_top").over(Window.partitionBy())).alias("_before"))
+    inside = F.lag("bucket").over(Window.partitionBy("_block").orderBy("bucket"))
+    return rows.withColumn("_lower", inside).join(before, "_block").select("bucket", F.coalesce("_lower", "_before").alias("lower"))
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, payload: list[str], range_mb: float = 8, knots: int = 64, deal_mb: float = 32) -> DataFrame:
+    """docs (doc_id, text and payload) with next_* of the next row by descending doc_id, the last one's being the
+    first row. One shuffle of the texts by ranges of ids, into tasks of some deal_mb MB. The last row of a range meets
+    the first one of the range below in a join of one row a range."""
+    bucket, ranges = _ranges(docs, range_mb, knots)
+    known = docs.withColumn("bucket", bucket)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(ranges * range_mb / deal_mb) + 1)
+    w = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
+    columns = ["doc_id", "text", *payload]
+    rows = known.select(*columns, "bucket").repartition(tasks, "bucket")
+    rows = rows.withColumns({**{f"next_{c}": F.lead(c).over(w) for c in ("text", *payload)}, "_last": F.lead(F.lit(False), 1, True).over(w), "_first": F.lag(F.lit(False), 1, True).over(w)})
+    inside = rows.filter("NOT _last").select(*columns, *[f"next_{c}" for c in ("text", *payload)])
+    heads = rows.filter("_first").select(F.col("bucket").alias("lower"), *[F.col(c).alias(f"next_{c}") for c in ("text", *payload)])
+    tails = rows.filter("_last").select(*columns, "bucket").join(_below(known.select("bucket").distinct()), "bucket").join(heads, "lower")
+    return inside.unionByName(tails.select(*inside.columns))
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Fingerprints of each text and of its edited text: the last floor(n_chars / 2) code points replaced by the
     first as many of the next document. Likeness of two fingerprints is 1 if the canonical forms are equal, else 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", canonical(F.col("text")).alias("canon"))
-    rows = rows.select("doc_id", "text", digest(F.col("canon")).alias("fingerprint"), F.unhex(F.sha2("canon", 256)).alias("sha"))
-    near = with_next(rows, ["fingerprint", "sha"])
+    near = with_next(rows.select("doc_id", "text", digest(canonical(F.col("text"))).alias("fingerprint")), ["fingerprint"], **how)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     near = near.select("*", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
-    near = near.select("doc_id", "n_chars", "fingerprint", "sha", "edited", "text", "next_text", "next_fingerprint", canonical(F.col("edited")).alias("edited_canon"))
+    near = near.select("doc_id", "n_chars", "fingerprint", "edited", "text", "next_text", "next_fingerprint", canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("edited_canon"))
     near = near.select("*", digest(F.col("edited_canon")).alias("edited_fingerprint"))
-    same_edited = (F.col("fingerprint") == F.col("edited_fingerprint")) & (F.unhex(F.sha2("edited_canon", 256)) == F.col("sha"))
-    same_next = F.when(F.col("fingerprint") == F.col("next_fingerprint"), canonical(F.col("text")) == canonical(F.col("next_text"))).otherwise(False)
-    flat = near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", same_edited.cast("double").alias("near_edited"), same_next.cast("double").alias("near_next"), "sha")
-    return flat.join(classes(rows.select("doc_id", "text")), ["fingerprint", "sha"]).drop("sha", "n_docs")
+    same_edited = (F.col("fingerprint") == F.col("edited_fingerprint")) & (F.col("canon") == F.col("edited_canon"))
+    same_next = F.when(F.col("fingerprint") == F.col("next_fingerprint"), F.col("canon") == canonical(F.col("next_text"))).otherwise(False)
+    flat = near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", same_edited.cast("double").alias("near_edited"), same_next.cast("double").alias("near_next"), F.unhex(F.sha2("canon", 256)).alias("sha"))
+    return flat.join(classes(rows), ["fingerprint", "sha"]).drop("sha", "n_docs")

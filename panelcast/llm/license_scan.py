@@ -1,38 +1,35 @@
 """License scans (operator 6), by DataFrame functions only.
 
-A text's words are its lower-cased runs of letters and digits; windows are cut for each length m of a template:
-2m - 1 words, one every m words, so each run of m words lies whole in a window. A window's 5-word shingles give
-`bands` MinHash values (one row a band): the smallest value of a shingle hash after XOR with the band's constant.
-A template is retrieved for a window if one band agrees. The number of bands for a length is worked out so that
-a window which holds 80 % of a template's shingles is missed with a probability of at most `miss`. Retrieved
-pairs are checked exactly: the share of the template's shingles that the window holds.
-
-A window without any template shingle can't share a smallest value with a template, so windows are only cut
-around words where one starts (the templates' shingles are a literal set; their number is a parameter's, not the
-corpus's). Texts of fewer than five words, or templates of so few, have one shingle of all their words.
-
-Defined results: null and empty texts match nothing; a repeated row gives repeated matches; a template counts
-once for each document, with its best window, ties to the first; other columns are ignored.
+A text's words are its lower-cased runs of letters and digits; a shingle is the hash of SHINGLE words in a row. Templates
+are taken in classes of lengths that lie within a factor of four (Class). For a class with templates of up to M words,
+windows of M + stride - 1 words start every `stride` words, so that each run of M words lies whole in one.
+
+Templates are retrieved by MinHash in its one-permutation form: a window's shingles are dealt out to `bands` bands by the
+first bits of their hashes, and a band's value is its smallest hash. A template is retrieved if one band agrees. How
+likely it is that none does, for a window that holds a share of `threshold` of a template's shingles, follows from how
+balls in random order fill boxes (miss_rate); stride and bands are the widest and fewest that keep it at MISS or less.
+Retrieved pairs are checked exactly: the share of the template's shingles that the window holds.
+
+A template of fewer words than a shingle has a shingle of its own length.
+
+Defined results: null and empty texts match nothing; rows with equal ids and texts count as one; a template counts once
+for each of them, with its best window, ties to the first; templates without a word match nothing; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Well-known notices by name.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
-SHINGLE, THRESHOLD, MISS = 5, 0.8, 1e-6
+from panelcast.llm.license_texts import TEMPLATES
+
+SHINGLE, THRESHOLD, MISS, BANDS = 5, 0.8, 1e-6, (64, 256, 1024, 4096)
 
 
 def once(value: Column) -> Column:
@@ -42,89 +39,148 @@ def once(value: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; null for none."""
+    """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def shingles(w: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all runs of `size` words, in order; of fewer words, the one of all."""
-    n = F.size(w)
+    """Hashes of all runs of `size` words, in order; none of fewer words."""
     run = lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), run))
-
-
-def bands_for(m: int, size: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS) -> int:
-    """Bands of one row so that a window with `threshold` of a template of m words is missed with `miss` at most."""
-    own, window = max(1, m - size + 1), max(1, 2 * m - 1 - size + 1)
-    need = math.ceil(threshold * own)
-    likeness = need / (window + own - need)
-    return 1 if likeness >= 1 else math.ceil(math.log(miss) / math.log(1 - likeness))
-
-
-def constants(n: int) -> list[int]:
-    """n fixed 64-bit values (the finaliser of a well-known generator over a counter)."""
-    out = []
-    for k in range(1, n + 1):
-        z = k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        z = (z ^ z >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
-        z ^= z >> 31
-        out.append(z - (1 << 64) if z >> 63 else z)
+    return F.when(F.size(w) < size, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1)), run))
+
+
+def miss_rate(shared: int, others: int, bands: int) -> float:
+    """Probability that no band's smallest of shared + others random hashes is a shared one: hashes come in random order,
+    the first in a band is its smallest, so every shared one must come to a band that is taken. Of large sets, smaller
+    ones with the same share are taken, which miss more often."""
+    if others <= 0:
+        return 0.0
+    if shared + others > 160:
+        scale = 160 / (shared + others)
+        shared, others = max(1, math.floor(shared * scale)), math.ceil(others * scale)
+    taken = np.arange(bands + 1) / bands
+    # rows[i][o]: i shared ones left, with the others of the outer loop, o bands taken
+    before = [taken**i for i in range(shared + 1)]
+    for j in range(1, others + 1):
+        now = [np.ones(bands + 1)]
+        for i in range(1, shared + 1):
+            up = np.append(before[i][1:], before[i][-1])
+            now.append(i / (i + j) * taken * now[i - 1] + j / (i + j) * (taken * before[i] + (1 - taken) * up))
+        before = now
+    return float(before[shared][0])
+
+
+@dataclass(frozen=True)
+class Class:
+    """Templates of like lengths: a shingle's words, a window's shingles, the words between two windows' starts, the bands
+    and how often a template is missed at most."""
+
+    size: int
+    window: int
+    stride: int
+    bands: int
+    miss: float
+
+
+def plan(lengths: list[int], size: int, threshold: float) -> Class:
+    """The widest stride, then the fewest bands, for templates of these numbers of words."""
+    longest = max(lengths)
+    best = None
+    stride = longest
+    while True:
+        window = longest + stride - size
+        for bands in BANDS:
+            miss = 0.0
+            for m in set(lengths):
+                own = m - size + 1
+                need = math.ceil(threshold * own - 1e-9)
+                miss = max(miss, 0.0 if need == own == window else miss_rate(need, window - need + own - need, bands))
+            if best is None or miss < best.miss:
+                best = Class(size, window, stride, bands, miss)
+            if miss <= MISS:
+                return Class(size, window, stride, bands, miss)
+        if stride == 1:
+            return best
+        stride = max(1, stride // 2)
+
+
+def classes(lengths: dict[str, int], threshold: float = THRESHOLD) -> dict[str, Class]:
+    """The class of each template (name: words): lengths of one word more than a shingle at least, within a factor of four;
+    one-shingle templates are a class of their own."""
+    groups: dict[tuple[int, int], list[str]] = {}
+    for name, m in lengths.items():
+        if m:
+            kind = 0 if m <= SHINGLE else 1 if m <= SHINGLE + 3 else 2 + int(math.log(m / (SHINGLE + 4), 4))
+            groups.setdefault((min(SHINGLE, m), kind), []).append(name)
+    out = {}
+    for (size, _), names in groups.items():
+        made = plan([lengths[n] for n in names], size, threshold)
+        out |= dict.fromkeys(names, made)
     return out
 
 
-def signature(sh: Column, n: Column) -> Column:
-    """The first n bands' smallest values."""
-    top = F.array(*[F.lit(c) for c in constants(max(bands_for(2), 80))])
-    return F.transform(F.slice(top, F.lit(1), n), lambda c: F.array_min(F.transform(sh, lambda h: h.bitwiseXOR(c))))
-
-
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """template, m (words), sh (distinct shingle hashes), n_bands."""
-    raw = spark.createDataFrame(sorted(templates.items()), "template string, body string")
-    rows = raw.select("template", words(F.col("body")).alias("w")).select("template", F.size("w").alias("m"), F.array_distinct(shingles(F.col("w"))).alias("sh"))
-    n = F.lit(1)
-    for m in sorted({r.m for r in rows.select("m").distinct().collect()}):
-        n = F.when(F.col("m") == m, F.lit(bands_for(m))).otherwise(n)
-    return rows.withColumn("n_bands", n)
+def signature(ordered: Column, bands: int) -> Column:
+    """The smallest hash of each band, from different hashes in order: the first with its leading bits."""
+    shift = 64 - bands.bit_length() + 1
+    return F.filter(ordered, lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get(ordered, i - 1), shift)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, template, containment, window (number of the best one), n_windows: a row for each template found."""
+    """doc_id, template, containment, window (first word of the best one, from 0), n_windows: a row for each template
+    found."""
     spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES)
-    rows = known.collect()  # a parameter's size
-    literal = F.array(*[F.lit(h) for h in sorted({h for r in rows for h in r.sh})])
-    lengths = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(bands_for(m)).alias("n_bands")) for m in sorted({r.m for r in rows})])
-    made = docs.select(F.col(id_col).alias("doc_id"), once(words(F.col(text_col))).alias("w")).select("doc_id", once(shingles(F.col("w"))).alias("sh")).filter(F.arrays_overlap("sh", literal))
-    hit = F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains(literal, F.get("sh", i)))
-    made = made.withColumn("hits", hit).withColumn("len", F.explode(lengths)).select("doc_id", "sh", "hits", F.col("len.m").alias("m"), F.col("len.n_bands").alias("n_bands"))
-    # shingle i lies in the windows from ceil((i - last shingle) / m) to i / m
-    last = F.greatest(2 * F.col("m") - 1 - SHINGLE, F.lit(0))
-    around = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(F.greatest(F.lit(0), F.ceil((i - last) / F.col("m")).cast("int")), F.floor(i / F.col("m")).cast("int")))))
-    windows = made.withColumn("window", F.explode(around)).select("doc_id", "m", "n_bands", "window", once(F.array_distinct(F.slice("sh", F.col("window") * F.col("m") + 1, last + 1))).alias("wsh"))
-    banded = windows.select("doc_id", "m", "window", "wsh", once(signature(F.col("wsh"), F.col("n_bands"))).alias("sig"))
-    keyed = known.select("template", "m", "sh", F.posexplode(signature(F.col("sh"), F.col("n_bands"))).alias("band", "least"))
-    table = keyed.groupBy("m", "template", "sh").agg(F.array_sort(F.collect_list(F.struct("band", "least"))).alias("own")).select("m", "template", "sh", F.transform("own", lambda x: x["least"]).alias("own"))
-    pairs = banded.join(F.broadcast(table), "m").filter(F.exists(F.zip_with("sig", "own", lambda a, b: a == b), lambda x: x))
+    raw = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "template string, body string")
+    lengths = {r.template: r.m for r in raw.select("template", F.size(words(F.col("body"))).alias("m")).collect()}  # a parameter's size
+    chosen = classes(lengths, threshold)
+    if not chosen:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("n_windows")).limit(0)
+    made = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), once(words(F.col(text_col))).alias("w"))
+    sizes = sorted({c.size for c in chosen.values()})
+    made = made.select("doc_id", "row", *[once(shingles(F.col("w"), s)).alias(f"sh{s}") if k == 0 else shingles(F.col("w"), s).alias(f"sh{s}") for k, s in enumerate(sizes)])
+    plans = sorted(set(chosen.values()), key=lambda c: (c.size, c.window))
+
+    def cut_out(k: int, c: Class) -> Column:
+        sh = F.col(f"sh{c.size}")
+        starts = F.when(F.size(sh) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(sh) - 1, F.lit(c.stride)))
+        return F.transform(starts, lambda at: F.struct(F.lit(k).alias("k"), at.alias("at"), F.array_sort(F.array_distinct(F.slice(sh, at + 1, c.window))).alias("wsh")))
+
+    cuts = [cut_out(k, c) for k, c in enumerate(plans)]
+    windows = made.select("doc_id", "row", F.explode(F.concat(*cuts)).alias("x")).select("doc_id", "row", "x.k", "x.at", "x.wsh")
+    number = F.create_map(*[F.lit(v) for name, c in chosen.items() for v in (name, plans.index(c))])
+    own = raw.filter(F.col("template").isin(sorted(chosen))).select("template", once(words(F.col("body"))).alias("w")).withColumn("k", number[F.col("template")])
+    body = reduce(lambda o, s: F.when(F.size("w") == s, shingles(F.col("w"), s)).otherwise(o), [s for s in sizes if s < SHINGLE], shingles(F.col("w"), SHINGLE))
+    own = own.select("template", "k", once(F.array_sort(F.array_distinct(body))).alias("sh"))
+    by_class = lambda column: reduce(lambda o, k: F.when(F.col("k") == k, signature(column, plans[k].bands)).otherwise(o), range(len(plans)), F.array().cast("array<bigint>"))
+    bands = own.select("template", "k", "sh", F.explode(by_class(F.col("sh"))).alias("band"))
+    values = {(r.k, r.band) for r in bands.select("k", "band").distinct().collect()}  # some bands a template
+    literal = lambda k: F.array(*[F.lit(v) for n, v in sorted(values) if n == k])
+    agree = reduce(lambda o, k: F.when(F.col("k") == k, F.arrays_overlap(F.col("sig"), literal(k))).otherwise(o), range(len(plans)), F.lit(False))
+    banded = windows.withColumn("sig", by_class(F.col("wsh"))).filter(agree)
+    pairs = banded.select("doc_id", "row", "k", "at", "wsh", F.explode("sig").alias("band")).join(bands, ["k", "band"]).dropDuplicates(["doc_id", "row", "k", "at", "template"])
     share = F.size(F.array_intersect("wsh", "sh")) / F.size("sh")
-    found = pairs.select("doc_id", "template", "window", share.alias("containment")).filter(F.col("containment") >= threshold)
-    return found.groupBy("doc_id", "template").agg(F.max("containment").alias("containment"), F.min_by("window", F.struct(-F.col("containment"), F.col("window"))).cast("long").alias("window"), F.count(F.lit(1)).alias("n_windows"))
+    found = pairs.select("doc_id", "row", "template", "at", share.alias("containment")).filter(F.col("containment") >= threshold)
+    best = found.groupBy("doc_id", "row", "template").agg(F.max("containment").alias("containment"), F.min_by("at", F.struct(-F.col("containment"), F.col("at"))).cast("long").alias("window"), F.count(F.lit(1)).alias("n_windows"))
+    return best.drop("row")
 
 
 def scan_sql(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:
     """The same in DuckDB's SQL over `documents`, without MinHash: every window that has a template's shingle is
-    compared."""
-    values = ", ".join(f"('{name}', '{body}')" for name, body in sorted((templates or TEMPLATES).items()))
+    compared. Templates have SHINGLE words or more."""
+    import re
+
+    known = templates or TEMPLATES
+    lengths = {n: len(re.findall(r"[^\W_]+", t)) for n, t in known.items()}
+    chosen = classes(lengths, threshold)
+    values = ", ".join("('{}', '{}', {}, {})".format(name, body.replace("'", "''"), chosen[name].window, chosen[name].stride) for name, body in sorted(known.items()))
     cut = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
     return f"""
-WITH t AS (SELECT name AS template, {cut.format('body')} AS w FROM (VALUES {values}) v(name, body)),
-ts AS (SELECT template, len(w) AS m, unnest(list_distinct(list_transform(range(1, greatest(2, len(w) - {SHINGLE - 2})), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')))) AS s FROM t),
-tn AS (SELECT template, m, count(*) AS n FROM ts GROUP BY ALL),
-d AS (SELECT doc_id, {cut.format('text')} AS w FROM documents),
-ds AS (SELECT doc_id, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)),
-hit AS (SELECT doc_id, template, m, i, s FROM ds JOIN ts USING (s)),
-win AS (SELECT DISTINCT doc_id, template, m, unnest(range(greatest(0, ceil((i - greatest(2 * m - {1 + SHINGLE}, 0)) / m)::BIGINT), floor(i / m)::BIGINT + 1)) AS "window", s FROM hit),
-c AS (SELECT doc_id, template, "window", count(*) / n AS containment FROM win JOIN tn USING (template, m) GROUP BY doc_id, template, "window", n)
+WITH t AS (SELECT name AS template, n AS size, stride, {cut.format('body')} AS w FROM (VALUES {values}) v(name, body, n, stride)),
+ts AS (SELECT template, size, stride, unnest(list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')))) AS s FROM t),
+tn AS (SELECT template, count(*) AS n FROM ts GROUP BY ALL),
+d AS (SELECT doc_id, row_number() OVER () AS r, {cut.format('text')} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+ds AS (SELECT doc_id, r, i, array_to_string(w[i + 1:i + {SHINGLE}], ' ') AS s FROM (SELECT doc_id, r, w, unnest(range(0, len(w) - {SHINGLE - 1})) AS i FROM d WHERE len(w) >= {SHINGLE})),
+hit AS (SELECT doc_id, r, template, size, stride, i, s FROM ds JOIN ts USING (s)),
+win AS (SELECT DISTINCT doc_id, r, template, stride * unnest(range(greatest(0, ceil((i - size + 1) / stride)::BIGINT), floor(i / stride)::BIGINT + 1)) AS "window", s FROM hit),
+c AS (SELECT doc_id, r, template, "window", count(*) / n AS containment FROM win JOIN tn USING (template) GROUP BY doc_id, r, template, "window", n)
 SELECT doc_id, template, max(containment) AS containment, arg_min("window", (-containment, "window")) AS "window", count(*) AS n_windows
-FROM c WHERE containment >= {threshold} GROUP BY doc_id, template"""
+FROM c WHERE containment >= {threshold} GROUP BY doc_id, r, template"""

@@ -4,13 +4,14 @@ A text's fingerprint has bit b set if over half of its shingles' 64-bit hashes h
 one node, named by the fingerprint. Fingerprints link at `radius` or fewer differing bits; components of links
 get the smallest id of their rows.
 
-Of radius + 1 blocks of bits at least one is equal in two linked fingerprints, so nodes are dealt out by block
-and value, and every such shard gets a BK-tree: a node's children are keyed by their Hamming distance to it,
-and a search follows only the edges from d - radius to d + radius. A shard that is larger than `shard_max` is
-cut again by blocks of the other bits, which loses no link either. The set of trees grows with the corpus, so
-they are not broadcast: a shuffle by shard brings each tree's nodes and queries together. A shard gives links
-to its components' smallest members only (a forest, never all pairs); the forests of all shards are joined by
-large-star and small-star rounds, each written to the shared folder.
+Of radius + 1 blocks of bits at least one is equal in two linked fingerprints, so nodes are dealt out by block and value,
+and every such shard gets a BK-tree: a node's children are keyed by their Hamming distance to it, and a search follows
+only the edges from d - radius to d + radius. A shard that is larger than `shard_max` is cut again by blocks of the bits
+that are left, again and again until it isn't; no cut loses a link, and FEW bits hold no more than 2^FEW fingerprints, so
+this ends. The set of trees grows with the corpus, so they are not broadcast: a shuffle by
+shard brings each tree's nodes and queries together. A shard gives links to its components' smallest members only (a
+forest, never all pairs); the forests of all shards are joined by large-star and small-star rounds, each written to the
+shared folder.
 
 Defined results: a null id is larger than any other (a component of null ids has a null id), and rows with a null
 id link by their own texts only; null, empty and blank texts have fingerprint zero and link like any other; rows that repeat
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import appended, cut, drop_cut
 
+#: Bits that are not cut any more.
+FEW = 12
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -124,25 +127,44 @@ def blocks(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[len(bits) * i // parts : len(bits) * (i + 1) // parts] for i in range(parts)]
 
 
-def masks(parts: list[list[int]]) -> list[int]:
-    """Each block's bits as a signed 64-bit mask."""
-    out = [sum(1 << b for b in p) for p in parts]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def finer(mask: int, parts: int) -> list[int]:
+    """mask with one more of the `parts` blocks of the bits that it lacks, for each of them. Unsigned."""
+    return [mask | sum(1 << b for b in p) for p in blocks([b for b in range(64) if not mask >> b & 1], parts)]
+
+
+def _dealt(nodes: DataFrame, radius: int, level: list[int]) -> DataFrame:
+    """nodes (fp, node, mask) as rows of the shards (mask, part) one level below. The table of masks has (radius + 1)^depth
+    rows, whatever the data."""
+    table = [(_signed(m), [_signed(f) for f in finer(m, radius + 1)]) for m in level]
+    below = nodes.sparkSession.createDataFrame(table, "mask long, below array<long>")
+    rows = nodes.join(F.broadcast(below), "mask").select("fp", "node", F.explode("below").alias("mask"))
+    return rows.select("fp", "node", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
 
 
 def shard_links(nodes: DataFrame, radius: int, shard_max: int) -> DataFrame:
     """(u, v): links of nodes (fp, node) by way of the shards."""
-    first = blocks(list(range(64)), radius + 1)
-    dealt = nodes.select("fp", "node", F.explode(F.array(*[F.struct(F.lit(j).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for j, m in enumerate(masks(first))])).alias("s")).select("fp", "node", F.col("s.block").alias("block"), F.col("s.part").alias("part"))
-    sizes = dealt.groupBy("block", "part").count().filter("count > 1")
-    sized = dealt.join(sizes, ["block", "part"]).withColumn("sub", F.lit(-1)).withColumn("rest", F.lit(0).cast("long"))
-    inner = [masks(blocks([b for b in range(64) if b not in set(p)], radius + 1)) for p in first]
-    again = F.lit(None)
-    for j, ms in enumerate(inner):
-        again = F.when(F.col("block") == j, F.array(*[F.struct(F.lit(s).alias("sub"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for s, m in enumerate(ms)])).otherwise(again)
-    plain = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("rest")))
-    keyed = sized.drop("sub", "rest").withColumn("k", F.explode(F.when(F.col("count") > shard_max, again).otherwise(plain))).select("block", "part", F.col("k.sub").alias("sub"), F.col("k.rest").alias("rest"), "fp", "node")
-    by = ["block", "part", "sub", "rest"]
+    level = [0]
+    todo = nodes.select("fp", "node", F.lit(0).cast("long").alias("mask"))
+    stored, shards = [], []
+    while True:
+        dealt = _dealt(todo, radius, level)
+        level = sorted({f for m in level for f in finer(m, radius + 1)})
+        sizes = dealt.groupBy("mask", "part").count().filter("count > 1")
+        stored.append(cut(dealt.join(sizes, ["mask", "part"])))
+        todo = stored[-1].filter(f"count > {shard_max}").select("fp", "node", "mask")
+        if max(64 - m.bit_count() for m in level) <= FEW or todo.isEmpty():
+            shards.append(stored[-1])
+            break
+        shards.append(stored[-1].filter(f"count <= {shard_max}"))
+    keyed = shards[0]
+    for more in shards[1:]:
+        keyed = keyed.unionByName(more)
+    by = ["mask", "part"]
+    keyed = keyed.select(*by, "fp", "node")
 
     def links(batches):
         key, values, ids, out = None, [], [], []
@@ -160,7 +182,10 @@ def shard_links(nodes: DataFrame, radius: int, shard_max: int) -> DataFrame:
         if len(ids) > 1 and (out := forest(values, ids, radius)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=EDGES)
 
-    return keyed.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(links, "u long, v long").distinct()
+    out = cut(keyed.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(links, "u long, v long").distinct())
+    for used in stored:
+        drop_cut(used)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
