@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import sys
 import tempfile
 import uuid
@@ -20,14 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a folder
+    of its own, which is removed with the process; on a cluster, where no such folder is shared, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="panelcast-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="panelcast-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def fresh(columns: list[str], prefix: str) -> str:
+    """The prefix, with more underscores until no column begins with it."""
+    while any(c.startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: a cut lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
@@ -95,18 +109,19 @@ class Memo(dict):
 
 def appended(df: DataFrame, inputs: list[str], f: Callable[..., list[list]], new: list[tuple[str, str, pa.DataType]]) -> DataFrame:
     """df with new columns (name, SQL type, Arrow type): f takes the input columns of a batch as lists and gives
-    the new ones. The others pass through as Arrow arrays."""
+    the new ones. The others pass through as Arrow arrays; a column that has a new one's name is replaced by it."""
     at = [df.columns.index(c) for c in inputs]
+    stays = [i for i, c in enumerate(df.columns) if c not in {name for name, _, _ in new}]
     types = [t for _, _, t in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             made = f(*[batch.column(i).to_pylist() for i in at])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(made, types))], names=[f"c{i}" for i in range(len(batch.columns) + len(types))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stays), *(pa.array(x, t) for x, t in zip(made, types))], names=[f"c{i}" for i in range(len(stays) + len(types))])
 
     # by position, so that clashing names do no harm
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    ddl = StructType(list(plain.schema.fields))
+    ddl = StructType([plain.schema.fields[i] for i in stays])
     for k, (_, sql, _) in enumerate(new):
-        ddl = ddl.add(f"c{len(df.columns) + k}", sql)
-    return plain.mapInArrow(run, ddl).toDF(*df.columns, *[name for name, _, _ in new])
+        ddl = ddl.add(f"n{k}", sql)
+    return plain.mapInArrow(run, ddl).toDF(*[df.columns[i] for i in stays], *[name for name, _, _ in new])

@@ -10,8 +10,9 @@ are read in windows of `window` bytes that overlap by `context` on both sides, w
 the states up, so each byte is labelled once and a long text is no harder than many short ones.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the first language by name;
-repeated rows get the same result; an empty table gives an empty result, but training needs at least one labelled
-text; other columns are ignored.
+repeated rows get the same result; a row without an id isn't held out; an empty table gives an empty result; where no row
+is labelled (or the table is empty) train raises and trained gives a network that finds `und` with score 0 everywhere;
+columns that have the results' names are replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -173,8 +174,8 @@ class BiGRU:
 
 
 def held_out(id_column: Column) -> Column:
-    """crc32 of the id as text leaves 2 when divided by 4."""
-    return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
+    """crc32 of the id as text leaves 2 when divided by 4; a null id isn't held out."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 class NothingToLearn(ValueError):

@@ -291,15 +291,17 @@ def merged(spans: list, n: int) -> list[tuple[int, int]]:
     return [(s, min(e, n)) for s, e in out]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, as_text: bool = False, **how) -> DataFrame:
-    """docs with _text (remaining bytes; with as_text as a string, without halves of characters), _bytes, _removed and _spans (counts)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    assert id_type in ("bigint", "int", "smallint", "tinyint"), id_type
-    th = F.xxhash64(F.col(text_col))
-    known = docs.withColumns({"_id": F.col(id_col).cast("long"), "_th": th})
-    base = docs.select(F.col(id_col).cast("long").alias("id"), th.alias("th"), F.col(text_col).alias("text"))
-    spans = repeated_spans(base, length, **how).groupBy("id", "th").agg(F.flatten(F.collect_list("span")).alias("_list")).withColumnsRenamed({"id": "_span_id", "th": "_span_th"})
-    joined = known.join(spans, F.col("_id").eqNullSafe(F.col("_span_id")) & F.col("_th").eqNullSafe(F.col("_span_th")), "left").drop("_id", "_th", "_span_id", "_span_th")
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, as_text: bool = False, prefix: str = "_", **how) -> DataFrame:
+    """docs with text (remaining bytes; with as_text as a string, without halves of characters), bytes, removed and spans
+    (counts), each named with prefix; columns of those names are replaced."""
+    columns = docs.columns
+    assert docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(columns))])  # by position, so that clashing names do no harm
+    id_at, text_at = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
+    known = plain.withColumns({"id": F.col(id_at).cast("long"), "th": F.xxhash64(text_at)})
+    base = known.select("id", "th", F.col(text_at).alias("text"))
+    spans = repeated_spans(base, length, **how).groupBy("id", "th").agg(F.flatten(F.collect_list("span")).alias("list")).withColumnsRenamed({"id": "s_id", "th": "s_th"})
+    joined = known.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & F.col("th").eqNullSafe(F.col("s_th")), "left").drop("id", "th", "s_id", "s_th")
 
     def rows(texts, lists):
         kept, sizes, removed, counts = [], [], [], []
@@ -318,8 +320,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             counts.append(len(runs))
         return [kept, sizes, removed, counts]
 
-    out = appended(joined, [text_col, "_list"], rows, [("_text", "string", pa.string()) if as_text else ("_text", "binary", pa.binary()), ("_bytes", "long", pa.int64()), ("_removed", "long", pa.int64()), ("_spans", "long", pa.int64())])
-    return out.drop("_list")
+    kind = ("string", pa.string()) if as_text else ("binary", pa.binary())
+    out = appended(joined, [text_at, "list"], rows, [("text", *kind), ("bytes", "long", pa.int64()), ("removed", "long", pa.int64()), ("spans", "long", pa.int64())]).drop("list")
+    names = ("text", "bytes", "removed", "spans")
+    stays = [(f"c{k}", c) for k, c in enumerate(columns) if c not in {prefix + n for n in names}]
+    return out.select(*[c for c, _ in stays], *names).toDF(*[name for _, name in stays], *[prefix + n for n in names])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, **how) -> DataFrame:
