@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators import linear
@@ -111,3 +111,12 @@ def qq_points(rows: DataFrame, by: list[str], value: str, normal: dict[int, floa
     got = scores.groupBy(*by).agg(F.percentile("_s", F.array(*[F.lit(k / 1000) for k in normal])).alias("q"))
     levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(z).alias("theory")) for k, z in normal.items()])
     return got.select(*by, F.inline(F.zip_with(levels, "q", lambda a, b: F.struct(a["level"].alias("level"), b.alias("sample"), a["theory"].alias("theory")))))
+
+
+def coefficients_of(pacf: Column) -> Column:
+    """Autoregressive coefficients from partial autocorrelations: each of these in (-1, 1) gives a stationary process."""
+
+    def step(phi: Column, a: Column) -> Column:
+        return F.concat(F.zip_with(phi, F.reverse(phi), lambda x, y: x - a * y), F.array(a))
+
+    return F.aggregate(pacf, F.array().cast("array<double>"), step)

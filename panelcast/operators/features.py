@@ -70,14 +70,15 @@ def wide(panel: DataFrame, value: str, locations: list[str], time: str = "week")
     return panel.groupBy(time).pivot("location", locations).agg(F.first(value)).na.drop(subset=locations)
 
 
-def accumulated(panel: DataFrame, value: str, by: list[str], phi: float | None = None, time: str = "week") -> DataFrame:
-    """by, time, total: running sum, or with phi the recursion x = phi * x + value, as a fold over each series."""
+def accumulated(panel: DataFrame, value: str, by: list[str], phi: float | Column | None = None, time: str = "week") -> DataFrame:
+    """by, time, total: running sum, or with phi the recursion x = phi * x + value, as a fold over each series; phi may be a
+    column, a coefficient that varies in time."""
     if phi is None:
         w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
         return panel.select(*by, time, F.sum(value).over(w).alias("total"))
-    series = panel.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("v")))).alias("xs"))
+    series = panel.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("v"), (phi if isinstance(phi, Column) else F.lit(phi)).alias("p")))).alias("xs"))
     zero = F.array().cast(f"array<struct<t:{panel.schema[time].dataType.simpleString()},total:double>>")
-    step = lambda s, x: F.concat(s, F.array(F.struct(x["t"].alias("t"), (F.coalesce(F.try_element_at(s, F.lit(-1))["total"], F.lit(0.0)) * phi + x["v"]).alias("total"))))
+    step = lambda s, x: F.concat(s, F.array(F.struct(x["t"].alias("t"), (F.coalesce(F.try_element_at(s, F.lit(-1))["total"], F.lit(0.0)) * x["p"] + x["v"]).alias("total"))))
     return series.select(*by, F.inline(F.aggregate("xs", zero, step))).withColumnRenamed("t", time)
 
 

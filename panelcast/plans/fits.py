@@ -333,6 +333,19 @@ def partial_acf(spark, d):
     return rounded(diagnostics.partial_autocorrelation(acf, ["location"], 8), "pacf", digits=5)
 
 
+@query(f"""WITH RECURSIVE {PANEL}, x AS (SELECT *, z - avg(z) OVER (PARTITION BY location) AS dd FROM p), y AS (SELECT location, k AS lag, dd, lag(dd, k) OVER (PARTITION BY location, k ORDER BY week) AS ld FROM x, (SELECT unnest(range(1, 9))::INTEGER AS k)),
+r AS (SELECT location, list(v ORDER BY lag) AS r FROM (SELECT location, lag, sum(dd * ld) / sum(dd * dd) AS v FROM y GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT location, list_transform(range(1, 9), lambda i: list_concat(list_transform(range(1, 9), lambda j: CASE WHEN i = j THEN 1.0 ELSE r[abs(i - j)] END), [r[i]])) AS m FROM r), {sql_solve('c', 's', 'location')}
+SELECT location, unnest(range(1, 9))::INTEGER AS lag, round(unnest(coef), 5) + 0.0 AS phi FROM c""")
+def pacf_to_ar(spark, d):
+    """Coefficients of order 8 stepped up from the partial autocorrelations; the SQL solves the Yule-Walker system."""
+    acf = diagnostics.autocorrelation(base.logged(spark, d), ["location"], "z", 8)
+    pacf = diagnostics.partial_autocorrelation(acf, ["location"], 8)
+    rows = pacf.groupBy("location").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "pacf"))), lambda x: x["pacf"]).alias("p"))
+    out = rows.select("location", F.posexplode(diagnostics.coefficients_of(F.col("p"))).alias("k", "phi"))
+    return rounded(out.select("location", (F.col("k") + 1).alias("lag"), "phi"), "phi", digits=5)
+
+
 @query(f"""WITH {PANEL}, cr AS (SELECT x.location AS a, y.location AS b, 1 - corr(x.z, y.z) AS d FROM p x JOIN p y ON x.week = y.week AND x.location < y.location GROUP BY 1, 2), j AS (SELECT arg_min({{'a': a, 'b': b}}, (d, a, b)) AS j FROM cr),
 g AS (SELECT location, location IN (j.a, j.b) AS up FROM (SELECT DISTINCT location FROM p), j), k AS (SELECT location, dense_rank() OVER (ORDER BY f)::INTEGER AS cluster FROM (SELECT location, min(location) OVER (PARTITION BY up) AS f FROM g)),
 h AS (SELECT cluster, location, ((woy - 1) % 52 + 1)::INTEGER AS w, z - avg(z) OVER (PARTITION BY cluster, location) AS dd FROM p JOIN k USING (location)), bn AS (SELECT cluster, w, CASE WHEN count(*) >= 3 THEN avg(dd) ELSE 0.0 END AS s FROM h GROUP BY 1, 2),

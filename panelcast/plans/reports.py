@@ -85,6 +85,14 @@ def accumulate(spark, d):
     return rounded(total.join(ar, ["location", "week"]), "total", "ar")
 
 
+@query(f"""WITH RECURSIVE {PANEL}, df AS (SELECT location, week, coalesce(z - lag(z) OVER w, z) AS e, 0.6 + 0.3 * sin(t / 10.0) AS phi, row_number() OVER w AS i FROM p WINDOW w AS (PARTITION BY location ORDER BY week)),
+a AS (SELECT location, week, i, e AS x FROM df WHERE i = 1 UNION ALL SELECT a.location, df.week, df.i, phi * x + e FROM a JOIN df ON df.location = a.location AND df.i = a.i + 1) SELECT location, week, round(x, 6) + 0.0 AS x FROM a""")
+def time_varying_ar(spark, d):
+    """Steps accumulated with a coefficient that varies in time."""
+    steps = base.logged(spark, d).withColumn("e", F.coalesce(features.difference("z", ["location"]), "z"))
+    return rounded(features.accumulated(steps, "e", ["location"], 0.6 + 0.3 * F.sin(F.col("t") / 10)).withColumnRenamed("total", "x"), "x")
+
+
 _FEATURES = ["now0", "now1", "now2", "now3", "trend", "clim", "amplitude", "natural", "sin", "cos", "target"]
 
 
