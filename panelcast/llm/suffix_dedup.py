@@ -12,15 +12,16 @@ minimizer are one segment; each string is in exactly one. So
 3. a segment whose digest also occurs elsewhere under its hash is repeated as a whole; groups of equal segments that
    hold more than a `HEAVY`th of all, of which there are fewer than HEAVY, are found by broadcast, not by a shuffle;
 4. of each other segment under a repeated hash, and of one of each group of equal ones, the bytes are dealt out by
-   the hash; there `induced_sort` gives the suffix and common-prefix arrays, and suffixes that share `length` bytes
-   with a neighbour are repeated. A hash's segments are sorted together: equal segments were collapsed before, so a
+   the hash; there `induced_sort` gives the suffix and common-prefix arrays, in `memory` bytes and beyond them on disk,
+   and suffixes that share `length` bytes with a neighbour are repeated. A hash's segments are sorted together: equal segments were collapsed before, so a
    passage copied a million times is one segment. Of a hash with more than `shard_rows` different segments, the
    strings are dealt out anew by where the minimizer lies in them, in blocks of `WIDTHS` places, and by the bytes that
    all strings of the block hold; narrower blocks follow where that isn't enough, down to single strings, of which a
    hash has one. So no sort has more than about a shard's segments;
 5. the spans are gathered by text (their number is bounded by its length), merged, and cut out.
 
-Texts go through one shuffle by id, used for steps 4 and 5.
+Texts go through one shuffle by id, used for steps 4 and 5. Segments count as equal if the 64-bit hashes of their minimizer
+and of all their bytes are; everything else is compared in the arrays.
 
 Defined results: null and empty texts have no bytes; a repeated row is a text of its own, so its strings repeat; an
 empty table gives an empty result; other columns pass through or are ignored.
@@ -127,12 +128,12 @@ def _segment_rows(length: int, gram: int):
     return run
 
 
-def _sorted_shards(length: int, shard_bytes: int):
+def _sorted_shards(length: int, shard_bytes: int, memory: int, few: int):
     """Spans of the repeated strings of the segments that occur once; whole hashes together, up to shard_bytes a sort."""
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("span", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
 
     def spans(rows):
-        found = repeated([r[5] for r in rows], length)
+        found = repeated([r[5] for r in rows], length, memory, few)
         ids, ths, out = [], [], []
         for (key, th, at, n, alone, _, _), starts in zip(rows, found):
             if alone and len(starts):
@@ -233,7 +234,7 @@ def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame
     return spans, sorts
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000, memory: int = 4_000_000, few: int = 1 << 20) -> DataFrame:
     """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text)."""
     found = cut(docs.select("id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), SEGMENT_SQL))
     # counts and groups are stored, so that both sides of the joins with them come from a shuffle: only then does Spark
@@ -274,7 +275,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
         dealt = dealt.filter("NOT hot")
         for x in more:
             dealt = dealt.unionByName(x)
-    arrays = dealt.select(*DEALT.names[:7]).repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_sorted_shards(length, shard_bytes), "id long, th long, span array<struct<s:int,e:int>>")
+    arrays = dealt.select(*DEALT.names[:7]).repartition(shards, "h").sortWithinPartitions("h").mapInArrow(_sorted_shards(length, shard_bytes, memory, few), "id long, th long, span array<struct<s:int,e:int>>")
     for x in found_spans:
         arrays = arrays.unionByName(x)
     return equal.unionByName(copied).unionByName(arrays)
