@@ -72,14 +72,14 @@ class TupleQueue:
                 self.tiers.append([])
             runs = [r for r in self.tiers[tier] if r[3] < len(r[0])]
             if runs:
-                self.tiers[tier + 1].append(self._merged(runs, tier))
+                self.tiers[tier + 1].append(self._merged(runs))
             for r in self.tiers[tier]:
                 for array in r[:3]:
                     self.space.free(array)
             self.tiers[tier] = []
             tier += 1
 
-    def _merged(self, runs: list[list], tier: int) -> list:
+    def _merged(self, runs: list[list]) -> list:
         parts = [[r[k][r[3] :] for r in runs] for k in range(3)]
         symbols = np.concatenate(parts[0])
         order = np.argsort(symbols, kind="stable")
@@ -124,11 +124,11 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class _Scan:
-    """One inducing scan: batches in order of the suffixes, tuples for their left neighbours out. With `down`, symbols are
-    counted from the highest."""
+    """One inducing scan: batches in order of the suffixes, tuples for their left neighbours out: of type L, or with `down`
+    of type S, where symbols are counted from the highest."""
 
-    def __init__(self, text: np.ndarray, takes: np.ndarray, symbols: int, cap: int, space: Space, down: bool):
-        self.text, self.takes, self.cap = text, takes, cap
+    def __init__(self, text: np.ndarray, small: np.ndarray, symbols: int, cap: int, space: Space, down: bool):
+        self.text, self.small, self.cap = text, small, cap
         self.top = symbols - 1 if down else None
         self.queue = TupleQueue(space)
         self.since = np.full(symbols, NONE, np.uint8)  # least value scanned since a symbol's last tuple
@@ -143,7 +143,7 @@ class _Scan:
 
     def _batch(self, positions: np.ndarray, common: np.ndarray) -> None:
         before = positions - 1
-        chosen = np.flatnonzero((before >= 0) & self.takes[before])
+        chosen = np.flatnonzero((before >= 0) & (self.small[before] == (self.top is not None)))
         least = int(common.min(initial=NONE))
         if not len(chosen):
             np.minimum(self.since, least, out=self.since)
@@ -354,6 +354,9 @@ def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, separators: bool, cap: in
             digits[2 * s : 2 * (s + len(part)) : 2] = (part >> bits) + 2
             digits[2 * s + 1 : 2 * (s + len(part)) : 2] = (part & (1 << bits) - 1) + 2
         digits[2 * n :] = 0
+        space.free(names)
+        space.free(uses)
+        names = uses = None
         at, low = n, NONE  # filled from the highest
 
         def visit(positions: np.ndarray, values: np.ndarray) -> None:
@@ -381,6 +384,7 @@ def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, separators: bool, cap: in
         _induced(digits, (1 << bits) + 2, False, cap, space, few, visit, lambda p: np.full(len(p), cap))
         same[0] = 0
         space.free(digits)
+        del digits
     # names in common to symbols: the distance over them, and what the strings that differ share
     out, common = space.array(n, seeds.dtype), space.array(n, np.uint8)
     last, room = n - 1, 0
@@ -402,10 +406,8 @@ def _sorted_seeds(text: np.ndarray, seeds: np.ndarray, separators: bool, cap: in
         common[s : s + BLOCK] = np.maximum(value, 0)
     if n:
         common[0] = 0
-    space.free(order)
-    space.free(same)
-    space.free(names)
-    space.free(uses)
+    for array in (order, same, names, uses):
+        space.free(array)
     return out, common
 
 
@@ -418,9 +420,7 @@ def _induced(text: np.ndarray, symbols: int, separators: bool, cap: int, space:
     seeds = _seeds(small, place, space)
     ordered, common = _sorted_seeds(text, seeds, separators, cap, space, few, limit)
     space.free(seeds)
-    large = space.array(n, bool)
-    for s in range(0, n, BLOCK):
-        large[s : s + BLOCK] = ~small[s : s + BLOCK]
+    del seeds
 
     def joint(lower: int, upper: int, symbol: int) -> int:
         """Common prefix of the largest L and the smallest S suffix of a symbol: their runs of it."""
@@ -431,10 +431,10 @@ def _induced(text: np.ndarray, symbols: int, separators: bool, cap: int, space:
     for s in range(0, len(ordered), BLOCK):
         bounds[1:] += np.bincount(text[ordered[s : s + BLOCK]], minlength=symbols)
     bounds = np.cumsum(bounds)
-    n_large = sum(int(large[s : s + BLOCK].sum()) for s in range(0, len(large), BLOCK))
+    n_large = n - sum(int(small[s : s + BLOCK].sum()) for s in range(0, n, BLOCK))
     low_at, low_common = space.array(n_large, place), space.array(n_large, np.uint8)
     ends = np.zeros(symbols + 1, np.int64)
-    scan = _Scan(text, large, symbols, cap, space, False)
+    scan = _Scan(text, small, symbols, cap, space, False)
     at = 0
     for symbol in range(symbols):
         begin = at
@@ -450,6 +450,7 @@ def _induced(text: np.ndarray, symbols: int, separators: bool, cap: int, space:
             scan.batch(ordered[s:e], values)
     space.free(ordered)
     space.free(common)
+    del ordered, common
 
     # descending scan: S suffixes
     scan = _Scan(text, small, symbols, cap, space, True)
@@ -477,11 +478,11 @@ def _induced(text: np.ndarray, symbols: int, separators: bool, cap: int, space:
             else:
                 turned[0] = low_common[hi]
             scan.batch(positions, turned)
-    for array in (low_at, low_common, small, run, large):
+    for array in (low_at, low_common, small, run):
         space.free(array)
 
 
-def repeated(segments: list[bytes], length: int = 200, memory: int = 64_000_000, few: int = 1 << 20, stats: dict | None = None) -> list[np.ndarray]:
+def repeated(segments: list[bytes], length: int = 200, memory: int = 32_000_000, few: int = 1 << 20, stats: dict | None = None) -> list[np.ndarray]:
     """For each segment, the starts of its substrings of `length` bytes (at most 250) that start elsewhere, too, in any
     segment. Arrays beyond `memory` bytes lie on disk; strings of up to `few` names are ranked without going on to
     recurse. stats gets the bytes that were on disk."""
@@ -496,14 +497,16 @@ def repeated(segments: list[bytes], length: int = 200, memory: int = 64_000_000,
         text[at + len(s)] = 1
         at += len(s) + 1
     text[total - 1 :] = 0
-    flagged = space.array(total, bool)
-    flagged[:] = False
-    waits = None  # whether the last suffix is like the one that comes
+    flagged = None
+    waits = False  # whether the last suffix is like the one that comes
 
     def visit(positions: np.ndarray, values: np.ndarray) -> None:
-        nonlocal waits
+        nonlocal flagged, waits
         if not len(positions):
             return
+        if flagged is None:
+            flagged = space.array(total, bool)
+            flagged[:] = False
         if waits:
             flagged[positions[0]] = True
         hits = values >= length

@@ -234,7 +234,7 @@ def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame
     return spans, sorts
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000, memory: int = 4_000_000, few: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000, memory: int = 32_000_000, few: int = 1 << 20) -> DataFrame:
     """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text)."""
     found = cut(docs.select("id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), SEGMENT_SQL))
     # counts and groups are stored, so that both sides of the joins with them come from a shuffle: only then does Spark
