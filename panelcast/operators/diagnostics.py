@@ -33,6 +33,15 @@ def nearest(rows: DataFrame, value: str, time: str = "week") -> DataFrame:
     return both.groupBy("location").agg(F.min_by("other", F.struct(-F.round("corr", 9), F.col("other"))).alias("nearest"), F.max("corr").alias("corr"))
 
 
+def running_correlations(rows: DataFrame, value: str, time: str = "week", least: int = 8) -> DataFrame:
+    """a, b, time, corr, n at every common time, from the rows up to it."""
+    a = rows.select(F.col("location").alias("a"), time, F.col(value).alias("x"))
+    b = rows.select(F.col("location").alias("b"), time, F.col(value).alias("y"))
+    w = Window.partitionBy("a", "b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.join(b, time).filter("a < b").withColumns({"corr": F.corr("x", "y").over(w), "n": F.count(F.lit(1)).over(w)})
+    return both.filter(F.col("n") >= least).select("a", "b", time, "corr", "n")
+
+
 def power_law(rows: DataFrame, by: list[str], value: str, least: int = 8) -> DataFrame:
     """exponent, intercept, n: log variance on log mean over groups."""
     groups = rows.groupBy(*by).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(F.lit(1)).alias("k")).filter((F.col("k") >= least) & (F.col("m") > 0) & (F.col("v") > 0))

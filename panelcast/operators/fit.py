@@ -17,10 +17,19 @@ def ar1(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("sd", F.sqrt(sse / F.greatest(F.col("n") - 2, F.lit(1)))).drop("syy", "sxy")
 
 
+def ar1_running(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The same at every row, from the rows of its group up to it, by running sums: by, week, slope, intercept, sd, n, last."""
+    w = Window.partitionBy(*by).orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
+    made = {"slope": F.regr_slope("z", "lag1").over(w), "intercept": F.regr_intercept("z", "lag1").over(w), "_yy": F.regr_syy("z", "lag1").over(w), "_xy": F.regr_sxy("z", "lag1").over(w), "n": F.count(F.lit(1)).over(w)}
+    out = rows.select(*by, "week", F.col("z").alias("last"), *[c.alias(n) for n, c in made.items()])
+    sse = F.greatest(F.col("_yy") - F.col("slope") * F.col("_xy"), F.lit(0.0))
+    return out.withColumn("sd", F.sqrt(sse / F.greatest(F.col("n") - 2, F.lit(1)))).drop("_yy", "_xy")
+
+
 def blend(own: DataFrame, pooled: DataFrame, weight: float, by: list[str], columns: list[str]) -> DataFrame:
-    """(1 - weight) * own + weight * pooled for each column. pooled is a row per `by`: broadcast."""
+    """(1 - weight) * own + weight * pooled for each column. pooled has a row per `by`."""
     renamed = pooled.select(*by, *[F.col(c).alias(f"_p_{c}") for c in columns])
-    joined = own.join(F.broadcast(renamed), by)
+    joined = own.join(renamed, by)
     return joined.withColumns({c: (1 - weight) * F.col(c) + weight * F.col(f"_p_{c}") for c in columns}).drop(*[f"_p_{c}" for c in columns])
 
 
@@ -75,6 +84,14 @@ def random_walk(rows: DataFrame, by: list[str], value: str = "z", time: str = "w
     return rows.groupBy(*by).agg(F.max_by(value, time).alias("last"), F.avg("_s").alias("drift"), F.sqrt(F.avg(F.col("_s") * F.col("_s"))).alias("sd"), F.count("_s").alias("n"))
 
 
+def random_walk_running(rows: DataFrame, by: list[str], value: str = "z", time: str = "week") -> DataFrame:
+    """random_walk at every row, from the rows up to it: by, time, last, drift, sd, n."""
+    order = Window.partitionBy(*by).orderBy(time)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    steps = rows.select(*by, time, F.col(value).alias("last"), (F.col(value) - F.lag(value).over(order)).alias("_s"))
+    return steps.select(*by, time, "last", F.avg("_s").over(upto).alias("drift"), F.sqrt(F.avg(F.col("_s") * F.col("_s")).over(upto)).alias("sd"), F.count("_s").over(upto).alias("n"))
+
+
 def damped_walk(rows: DataFrame, by: list[str], phi: float, value: str = "z", time: str = "week") -> DataFrame:
     """by, anchor, slope (0), phi, sd: a random walk that goes back to 0 by phi a step (1: none)."""
     e = F.col(value) - phi * F.lag(value).over(Window.partitionBy(*by).orderBy(time))

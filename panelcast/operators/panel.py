@@ -32,7 +32,7 @@ def dense(panel: DataFrame, n: int, most_delay: int, versions: DataFrame | None
     the weeks to the last one; capped) and the season's number."""
     last = trailing(panel, n)
     weeks = last.select("week").distinct()
-    grid = weeks.crossJoin(F.broadcast(panel.select("location").distinct()))  # two dimensions: the weeks and the locations
+    grid = panel.select("location").distinct().crossJoin(F.broadcast(weeks))  # the panel's cells; its weeks are n
     cells = grid.join(last.select("location", "week", "y"), ["location", "week"], "left")
     end = weeks.agg(F.max("week").alias("end"))
     cells = cells.crossJoin(F.broadcast(end))

@@ -76,7 +76,7 @@ def deseasonalised(panel: DataFrame, profile: DataFrame, by: list[str], period:
     """panel with r = z - location mean - profile (0 for a week without one)."""
     key = calendar.mod1(F.col("woy"), period).cast("int")
     rows = panel.withColumns({"level": F.avg("z").over(Window.partitionBy(*by, "location")), "_w": key})
-    joined = rows.join(F.broadcast(profile.select(*by, F.col("woy").alias("_w"), "s")), [*by, "_w"], "left")
+    joined = rows.join(profile.select(*by, F.col("woy").alias("_w"), "s"), [*by, "_w"], "left")
     return joined.withColumn("r", F.col("z") - F.col("level") - F.coalesce("s", F.lit(0.0))).drop("_w", "s")
 
 
@@ -88,7 +88,7 @@ def slope_through_zero(x: Column, y: Column, least: float = 1e-8, shrink: float
 
 def blended(own: DataFrame, pooled: DataFrame, lam: float, keys: list[str], value: str) -> DataFrame:
     """(1 - lam) * pooled + lam * own."""
-    joined = own.join(F.broadcast(pooled.withColumnRenamed(value, "_p")), keys)
+    joined = own.join(pooled.withColumnRenamed(value, "_p"), keys)
     return joined.withColumn(value, (1 - lam) * F.col("_p") + lam * F.col(value)).drop("_p")
 
 
@@ -96,7 +96,7 @@ def severity(panel: DataFrame, climate: DataFrame, last: int = 8, min_locations:
     """season_year, severity: mean over locations (at least min_locations) of the mean ratio to climatology in the last
     weeks of each season."""
     back = F.row_number().over(Window.partitionBy("location", "season_year").orderBy(F.desc("week")))
-    rows = panel.withColumn("_b", back).filter(F.col("_b") <= last).join(F.broadcast(climate), ["location", "woy"])
+    rows = panel.withColumn("_b", back).filter(F.col("_b") <= last).join(climate, ["location", "woy"])
     own = rows.groupBy("location", "season_year").agg(F.avg(F.col("z") / F.col("c")).alias("ratio"))
     return own.groupBy("season_year").agg(F.avg("ratio").alias("severity"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_locations)
 

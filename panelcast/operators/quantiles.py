@@ -36,11 +36,11 @@ def from_sample(rows: DataFrame, by: list[str], value: Column, levels: list[int]
 
 def band_history(history: DataFrame, targets: DataFrame, band: int = 2, period: int = 52) -> DataFrame:
     """targets (origin, location, horizon, target_week) with the history before the origin whose week of season is
-    within `band` weeks of the target's: the band is exploded on the small side, so it is an equi-join."""
+    within `band` weeks of the target's: the band is exploded on the side of the targets, so it is an equi-join."""
     around = F.explode(F.transform(F.sequence(F.lit(-band), F.lit(band)), lambda o: calendar.mod1(calendar.week_of_season(F.col("target_week")) + o, period).cast("int")))
     wanted = targets.withColumn("_w", around)
     past = history.select("location", F.col("week").alias("_d"), calendar.mod1(F.col("woy"), period).cast("int").alias("_w"), "y")
-    return past.join(F.broadcast(wanted), ["location", "_w"]).filter(F.col("_d") < F.col("origin"))
+    return past.join(wanted, ["location", "_w"]).filter(F.col("_d") < F.col("origin"))
 
 
 def band_or_all(history: DataFrame, targets: DataFrame, least: int, band: int = 2, period: int = 52) -> DataFrame:
@@ -148,6 +148,6 @@ def conformal(points: DataFrame, pool: DataFrame, fallback: DataFrame, scale: st
     fallback (location, origin, horizon, level, value on the modelling scale)."""
     sizes = pool.groupBy("origin", "horizon").agg(F.count(F.lit(1)).alias("n"))
     qs = from_sample(pool, ["origin", "horizon"], F.col("error")).withColumnRenamed("value", "q")
-    rows = points.join(fallback, ["location", "origin", "horizon"]).join(F.broadcast(sizes), ["origin", "horizon"], "left").join(F.broadcast(qs), ["origin", "horizon", "level"], "left")
+    rows = points.join(fallback, ["location", "origin", "horizon"]).join(sizes, ["origin", "horizon"], "left").join(qs, ["origin", "horizon", "level"], "left")
     value = F.when(F.col("n") >= least, F.col("point") + width * F.col("q")).otherwise(F.col("value"))
     return rows.select("location", "origin", "horizon", "target_week", "level", transforms.from_scale(value, scale).alias("value"), (F.coalesce("n", F.lit(0)) >= least).alias("calibrated"))

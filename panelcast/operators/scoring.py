@@ -52,6 +52,22 @@ def scored(tables: DataFrame, truth: DataFrame, log: bool = False) -> DataFrame:
     return checked.select(*TASK, (F.col("loss") / half).alias("wis"), (F.col("d") / half).alias("dispersion"), (F.col("o") / half).alias("overprediction"), (F.col("u") / half).alias("underprediction"), "n_quantiles")
 
 
+def covered_levels(tables: DataFrame, truth: DataFrame, pairs: dict[str, tuple[int, int]], by: list[str]) -> DataFrame:
+    """by, a column of coverage for each named pair of levels, n: one pass for all pairs."""
+    ends = {f"_{side}_{name}": F.max(F.when(F.col("level") == level, F.col("value"))) for name, pair in pairs.items() for side, level in zip(("lo", "hi"), pair)}
+    tasks = tables.groupBy(*TASK).agg(*[c.alias(n) for n, c in ends.items()]).join(truth, ["location", "target_week"])
+    shares = [F.avg(F.col("truth").between(F.col(f"_lo_{name}"), F.col(f"_hi_{name}")).cast("double")).alias(name) for name in pairs]
+    return tasks.groupBy(*by).agg(*shares, F.count(F.lit(1)).alias("n"))
+
+
+def both_scales(tables: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
+    """by, natural_wis, log_wis: mean scores on both scales in one pass over the rows."""
+    rows = tables.join(checked_truth(truth), ["location", "target_week"])
+    loss = lambda v, y: 2 * F.avg(pinball(v, y, F.col("level")))
+    tasks = rows.groupBy(*TASK).agg(loss(F.col("value"), F.col("truth")).alias("_n"), loss(F.log1p("value"), F.log1p("truth")).alias("_l"))
+    return tasks.groupBy(*by).agg(F.avg("_n").alias("natural_wis"), F.avg("_l").alias("log_wis"))
+
+
 def missing_truth(tables: DataFrame, truth: DataFrame) -> DataFrame:
     """Tasks that can't be scored."""
     return tables.select(*TASK).distinct().join(truth, ["location", "target_week"], "left_anti")

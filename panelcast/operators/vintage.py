@@ -81,15 +81,15 @@ def tiers(rows: DataFrame, keys: DataFrame, min_support: int = 8) -> DataFrame:
     levels = [("own", ["location", "delay", "phase"]), ("location", ["location", "delay"]), ("pooled", ["delay"])]
     for name, by in levels:
         got = rows.groupBy(*by).agg(F.percentile("change", F.lit(0.5)).alias(f"c_{name}"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_support).drop("n")
-        out = out.join(F.broadcast(got), by, "left")
+        out = out.join(got, by, "left")
     tier = F.when(F.col("c_own").isNotNull(), "own").when(F.col("c_location").isNotNull(), "location").when(F.col("c_pooled").isNotNull(), "pooled").otherwise("none")
     return out.select(*keys.columns, tier.alias("tier"), F.coalesce(*[f"c_{n}" for n, _ in levels]).alias("correction"))
 
 
 def corrected(values: DataFrame, profile: DataFrame, max_delay: int, mode: str = "additive") -> DataFrame:
     """values (location, delay, value) with `value` moved by the profile where the delay is known and at most
-    max_delay and the key is there; other rows stay as they are. The profile is a row per key: broadcast."""
-    joined = values.join(F.broadcast(profile.select("location", "delay", F.col("correction").alias("_c"))), ["location", "delay"], "left")
+    max_delay and the key is there; other rows stay as they are. The profile has a row per key."""
+    joined = values.join(profile.select("location", "delay", F.col("correction").alias("_c")), ["location", "delay"], "left")
     use = F.col("delay").between(0, max_delay) & F.col("_c").isNotNull() & F.col("value").isNotNull()
     moved = F.col("value") + F.col("_c") if mode == "additive" else F.col("value") * F.col("_c")
     return joined.withColumn("corrected", F.when(use, moved).otherwise(F.col("value"))).drop("_c")

@@ -38,19 +38,19 @@ def versions(spark: SparkSession, d: str) -> DataFrame:
 
 def ar1_table(spark: SparkSession, d: str) -> DataFrame:
     lagged = features.lags(logged(spark, d), "z", 1, ["location"])
-    fits = fit.ar1(panel.expanding(lagged, origins(spark, d)), ["origin", "location"])
+    fits = panel.latest(fit.ar1_running(lagged, ["location"]), origins(spark, d), ["location"])
     return quantiles.from_normal(simulate.ar1_ahead(fits, HORIZONS), "log", "ar1")
 
 
 def walk_table(spark: SparkSession, d: str) -> DataFrame:
-    fits = fit.random_walk(panel.expanding(logged(spark, d), origins(spark, d)), ["origin", "location"])
+    fits = panel.latest(fit.random_walk_running(logged(spark, d), ["location"]), origins(spark, d), ["location"])
     rows = fits.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
     rows = rows.withColumns({"mean": F.col("last") + F.col("drift") * F.col("horizon"), "sd_h": F.col("sd") * F.sqrt("horizon")})
     return quantiles.from_normal(rows, "log", "walk")
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = origins(spark, d).select("origin").crossJoin(F.broadcast(weekly(spark, d).select("location").distinct()))  # grid of two small dimensions
+    rows = weekly(spark, d).select("location").distinct().crossJoin(F.broadcast(origins(spark, d).select("origin")))  # the grid of what is forecast; weeks are few
     return rows.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS]))).withColumn("target_week", F.date_add("origin", 7 * F.col("horizon")))
 
 

@@ -223,7 +223,7 @@ def deseasonalize(spark, d):
 def amplitude_scale(spark, d):
     h = _history(spark, d)
     rows = h.withColumns({"r": F.col("z") - F.avg("z").over(Window.partitionBy("origin", "location")), "_w": calendar.mod1(F.col("woy"), 52).cast("int")})
-    joined = rows.join(F.broadcast(profiles.seasonal(h, ["origin"]).withColumnRenamed("woy", "_w")), ["origin", "_w"])
+    joined = rows.join(profiles.seasonal(h, ["origin"]).withColumnRenamed("woy", "_w"), ["origin", "_w"])
     return rounded(joined.groupBy("origin", "location").agg(profiles.slope_through_zero(F.col("s"), F.col("r"), shrink=0.5).alias("scale")), "scale")
 
 
@@ -432,9 +432,7 @@ def wis_summary(spark, d):
 @query(f"WITH {FORECASTS}, {PAIRS}, l AS (SELECT model, location, origin, horizon, 2 * avg(CASE WHEN ln(1 + truth) < ln(1 + value) THEN (1 - level / 1000.0) * (ln(1 + value) - ln(1 + truth)) ELSE level / 1000.0 * (ln(1 + truth) - ln(1 + value)) END) AS w, 2 * avg(CASE WHEN truth < value THEN (1 - level / 1000.0) * (value - truth) ELSE level / 1000.0 * (truth - value) END) AS n FROM ft GROUP BY 1, 2, 3, 4), m AS (SELECT model, avg(w) AS w, avg(n) AS n FROM l GROUP BY 1) SELECT model, round(n, 6) AS natural_wis, round(w, 6) AS log_wis, row_number() OVER (ORDER BY n, model)::INTEGER AS natural_rank, row_number() OVER (ORDER BY w, model)::INTEGER AS log_rank FROM m")
 def wis_log_compare(spark, d):
     f, t = base.forecasts(spark, d), base.truth(spark, d)
-    natural = scoring.scored(f, t).groupBy("model").agg(F.avg("wis").alias("natural_wis"))
-    logged = scoring.scored(f, t, log=True).groupBy("model").agg(F.avg("wis").alias("log_wis"))
-    rows = natural.join(logged, "model")
+    rows = scoring.both_scales(f, t, ["model"])
     return rounded(selection.ranked(selection.ranked(rows, "natural_wis", "natural_rank"), "log_wis", "log_rank"), "natural_wis", "log_wis")
 
 
@@ -444,9 +442,7 @@ _COVER = "e AS (SELECT model, location, origin, horizon, max(truth) AS truth, ma
 @query(f"WITH {FORECASTS}, {PAIRS}, {_COVER} SELECT model, horizon, round(avg(CASE WHEN truth BETWEEN l50 AND u50 THEN 1.0 ELSE 0.0 END), 6) AS cover50, round(avg(CASE WHEN truth BETWEEN l95 AND u95 THEN 1.0 ELSE 0.0 END), 6) AS cover95, count(*) AS n FROM e GROUP BY 1, 2")
 def coverage_levels(spark, d):
     f, t = base.forecasts(spark, d), base.truth(spark, d)
-    a = scoring.covered(f, t, 250, 750, ["model", "horizon"]).select("model", "horizon", F.col("coverage").alias("cover50"))
-    b = scoring.covered(f, t, 25, 975, ["model", "horizon"]).select("model", "horizon", F.col("coverage").alias("cover95"), "n")
-    return rounded(a.join(b, ["model", "horizon"]), "cover50", "cover95")
+    return rounded(scoring.covered_levels(f, t, {"cover50": (250, 750), "cover95": (25, 975)}, ["model", "horizon"]), "cover50", "cover95")
 
 
 @query(f"WITH {FORECASTS}, {PAIRS} SELECT model, location, round(avg(value - truth), 6) + 0.0 AS bias, round(avg(ln(1 + value) - ln(1 + truth)), 6) + 0.0 AS log_bias, count(*) AS n FROM ft WHERE level = 500 GROUP BY 1, 2")
@@ -509,7 +505,7 @@ _SEASON = "(CASE WHEN month({0}) >= 10 THEN year({0}) ELSE year({0}) - 1 END)::I
 
 @query(f"WITH {FORECASTS}, {PAIRS}, e AS (SELECT model, horizon, {_SEASON.format('origin')} AS season_year, ln(1 + truth) - ln(1 + value) AS e FROM ft WHERE level = 500), s AS (SELECT model, horizon, season_year, sum(e) AS s, count(*) AS n FROM e GROUP BY 1, 2, 3), a AS (SELECT *, sum(s) OVER w AS ts, sum(n) OVER w AS tn FROM s WINDOW w AS (PARTITION BY model, horizon)) SELECT model, horizon, season_year, round((ts - s) / (tn - n), 6) + 0.0 AS shift FROM a WHERE tn > n")
 def loso_bias(spark, d):
-    rows = base.forecasts(spark, d).filter("level = 500").join(F.broadcast(base.truth(spark, d)), ["location", "target_week"])
+    rows = base.forecasts(spark, d).filter("level = 500").join(base.truth(spark, d), ["location", "target_week"])
     sums = rows.groupBy("model", "horizon", calendar.season_year(F.col("origin")).alias("season_year")).agg(F.sum(F.log1p("truth") - F.log1p("value")).alias("s"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("model", "horizon")
     rest = (F.sum("s").over(w) - F.col("s")) / (F.sum("n").over(w) - F.col("n"))

@@ -276,6 +276,23 @@ def corr_kinds(spark, d):
     return rounded(both[0].unionByName(both[1]), "corr")
 
 
+@query(f"WITH {PANEL}, {ORIGINS}, c AS (SELECT origin, x.location, y.location AS other, corr(x.z, y.z) AS r FROM p x JOIN p y ON x.week = y.week AND x.location <> y.location JOIN o ON x.week <= origin GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY origin, location ORDER BY round(r, 9) DESC, other) AS i FROM c) SELECT origin, location, other AS nearest, round(r, 6) AS corr FROM k WHERE i = 1")
+def nearest_by_origin(spark, d):
+    """Each location's nearest one at every origin, from what is known by then."""
+    known = panel.latest(diagnostics.running_correlations(base.logged(spark, d), "z"), base.origins(spark, d), ["a", "b"])
+    both = known.select("origin", F.col("a").alias("location"), F.col("b").alias("other"), "corr").unionByName(known.select("origin", F.col("b").alias("location"), F.col("a").alias("other"), "corr"))
+    best = F.min_by(F.struct("other", "corr"), F.struct(-F.round("corr", 9), F.col("other")))
+    return rounded(both.groupBy("origin", "location").agg(best.alias("m")).select("origin", "location", F.col("m.other").alias("nearest"), "m.corr"), "corr")
+
+
+@query(f"""WITH {PANEL}, {ORIGINS}, h AS (SELECT origin, location, woy, z FROM p, o WHERE week < origin), dm AS (SELECT *, z - avg(z) OVER (PARTITION BY origin, location) AS dd FROM h),
+bn AS (SELECT origin, woy, CASE WHEN count(*) >= 3 THEN avg(dd) ELSE 0.0 END AS s FROM dm GROUP BY 1, 2), fu AS (SELECT origin, k.w, coalesce(s, 0.0) AS s FROM (SELECT DISTINCT origin FROM h) g CROSS JOIN (SELECT unnest(range(1, 54))::INTEGER AS w) k LEFT JOIN bn USING (origin) WHERE bn.woy = k.w UNION ALL SELECT g.origin, k.w, 0.0 FROM (SELECT DISTINCT origin FROM h) g CROSS JOIN (SELECT unnest(range(1, 54))::INTEGER AS w) k WHERE NOT EXISTS (SELECT 1 FROM bn WHERE bn.origin = g.origin AND bn.woy = k.w)),
+sm AS (SELECT fu.origin, ((fu.w - 1 + x.k + 53) % 53 + 1)::INTEGER AS woy, avg(s) AS s FROM fu, (SELECT unnest([-2, -1, 0, 1, 2]) AS k) x GROUP BY 1, 2) SELECT origin, woy, round(s - avg(s) OVER (PARTITION BY origin), 6) + 0.0 AS s FROM sm""")
+def seasonal_profile_53(spark, d):
+    """The pooled profile on 53 weeks, none folded."""
+    return rounded(profiles.seasonal(_history(spark, d), ["origin"], period=53), "s")
+
+
 # scores, calibration, selection
 
 
