@@ -234,7 +234,7 @@ def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame
     return spans, sorts
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 25_000, memory: int = 32_000_000, few: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 4_000, task_rows: int = 25_000, memory: int = 32_000_000, few: int = 1 << 20) -> DataFrame:
     """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text)."""
     found = cut(docs.select("id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), SEGMENT_SQL))
     # counts and groups are stored, so that both sides of the joins with them come from a shuffle: only then does Spark
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
     chosen = groups.join(needed, "h").join(tagged.select("h", "d", "row", "id", "th", "at", "n"), ["h", "d", "row"])
     chosen = cut(chosen.select("id", "th", F.struct("at", "n", (F.col("copies") == 1).alias("alone"), "h", "hot").alias("seg")))
     tally = chosen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("seg.hot").cast("long")), F.lit(0)).alias("hot")).first()
-    shards = max(1, -(-tally.rows // shard_rows))
+    shards = max(1, -(-tally.rows // task_rows))
     by_text = chosen.groupBy("id", "th").agg(F.collect_list("seg").alias("segs"))
     texts = docs.select("id", "th", "text")
     cut_out = texts.join(by_text.select(F.col("id").alias("i"), F.col("th").alias("t"), "segs"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
