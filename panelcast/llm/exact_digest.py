@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.llm.common import cut
+
 
 def canonical(text: Column) -> Column:
     """The canonical form."""
@@ -74,28 +76,28 @@ def _below(buckets: DataFrame, block: int = 4096) -> DataFrame:
     return rows.withColumn("_lower", inside).join(before, "_block").select("bucket", F.coalesce("_lower", "_before").alias("lower"))
 
 
-def with_next(docs: DataFrame, payload: list[str], range_mb: float = 8, knots: int = 64, deal_mb: float = 32) -> DataFrame:
-    """docs (doc_id, text and payload) with next_* of the next row by descending doc_id, the last one's being the
-    first row. One shuffle of the texts by ranges of ids, into tasks of some deal_mb MB. The last row of a range meets
-    the first one of the range below in a join of one row a range."""
+def with_next(docs: DataFrame, range_mb: float = 8, knots: int = 64, deal_mb: float = 32) -> DataFrame:
+    """docs (doc_id, text, fingerprint) with next_text, next_fingerprint of the next row by descending doc_id, the last one's being the
+    first row. One shuffle of the texts by ranges of ids, into tasks of some deal_mb MB. The last row of a range gets the first one of
+    the range below from a table of one row a range, which is stored: whether it is broadcast depends on its size."""
     bucket, ranges = _ranges(docs, range_mb, knots)
-    known = docs.withColumn("bucket", bucket)
+    known = docs.select("doc_id", "text", "fingerprint", bucket.alias("bucket"))
+    first = F.min_by("text", F.struct(-F.col("doc_id"), F.col("text")))
+    heads = known.groupBy("bucket").agg(first.alias("head")).select(F.col("bucket").alias("lower"), "head", digest(canonical(F.col("head"))).alias("head_print"))
+    ends = cut(_below(known.select("bucket").distinct()).join(heads, "lower").select(F.col("bucket").alias("of"), "head", "head_print"))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(ranges * range_mb / deal_mb) + 1)
     w = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
-    columns = ["doc_id", "text", *payload]
-    rows = known.select(*columns, "bucket").repartition(tasks, "bucket")
-    rows = rows.withColumns({**{f"next_{c}": F.lead(c).over(w) for c in ("text", *payload)}, "_last": F.lead(F.lit(False), 1, True).over(w), "_first": F.lag(F.lit(False), 1, True).over(w)})
-    inside = rows.filter("NOT _last").select(*columns, *[f"next_{c}" for c in ("text", *payload)])
-    heads = rows.filter("_first").select(F.col("bucket").alias("lower"), *[F.col(c).alias(f"next_{c}") for c in ("text", *payload)])
-    tails = rows.filter("_last").select(*columns, "bucket").join(_below(known.select("bucket").distinct()), "bucket").join(heads, "lower")
-    return inside.unionByName(tails.select(*inside.columns))
+    rows = known.repartition(tasks, "bucket").withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w), "last": F.lead(F.lit(False), 1, True).over(w)})
+    joined = rows.join(ends, (F.col("bucket") == F.col("of")) & F.col("last"), "left")
+    end = lambda inside, outside: F.when(F.col("last"), F.col(outside)).otherwise(F.col(inside)).alias(inside)
+    return joined.select("doc_id", "text", "fingerprint", end("next_text", "head"), end("next_fingerprint", "head_print"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Fingerprints of each text and of its edited text: the last floor(n_chars / 2) code points replaced by the
     first as many of the next document. Likeness of two fingerprints is 1 if the canonical forms are equal, else 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    near = with_next(rows.select("doc_id", "text", digest(canonical(F.col("text"))).alias("fingerprint")), ["fingerprint"], **how)
+    near = with_next(rows.select("doc_id", "text", digest(canonical(F.col("text"))).alias("fingerprint")), **how)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     near = near.select("*", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
