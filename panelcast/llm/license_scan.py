@@ -1,7 +1,7 @@
 """License scans (operator 6), by DataFrame functions only.
 
 A text's words are its lower-cased runs of letters and digits; a shingle is the hash of SHINGLE words in a row. Templates
-are taken in classes of lengths that lie within a factor of four (Class). For a class with templates of up to M words,
+are taken in classes of lengths that lie within a factor of eight (Class). For a class with templates of up to M words,
 windows of M + stride - 1 words start every `stride` words, so that each run of M words lies whole in one.
 
 Templates are retrieved by MinHash in its one-permutation form: a window's shingles are dealt out to `bands` bands by the
@@ -105,12 +105,12 @@ def plan(lengths: list[int], size: int, threshold: float) -> Class:
 
 
 def classes(lengths: dict[str, int], threshold: float = THRESHOLD) -> dict[str, Class]:
-    """The class of each template (name: words): lengths of one word more than a shingle at least, within a factor of four;
-    one-shingle templates are a class of their own."""
+    """The class of each template (name: words): one-shingle templates, those of up to three words more, and
+    lengths within a factor of eight."""
     groups: dict[tuple[int, int], list[str]] = {}
     for name, m in lengths.items():
         if m:
-            kind = 0 if m <= SHINGLE else 1 if m <= SHINGLE + 3 else 2 + int(math.log(m / (SHINGLE + 4), 4))
+            kind = 0 if m <= SHINGLE else 1 if m <= SHINGLE + 3 else 2 + int(math.log(m / (SHINGLE + 4), 8))
             groups.setdefault((min(SHINGLE, m), kind), []).append(name)
     out = {}
     for (size, _), names in groups.items():
@@ -139,24 +139,36 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     made = made.select("doc_id", "row", *[once(shingles(F.col("w"), s)).alias(f"sh{s}") if k == 0 else shingles(F.col("w"), s).alias(f"sh{s}") for k, s in enumerate(sizes)])
     plans = sorted(set(chosen.values()), key=lambda c: (c.size, c.window))
 
-    def cut_out(k: int, c: Class) -> Column:
-        sh = F.col(f"sh{c.size}")
-        starts = F.when(F.size(sh) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(sh) - 1, F.lit(c.stride)))
-        return F.transform(starts, lambda at: F.struct(F.lit(k).alias("k"), at.alias("at"), F.array_sort(F.array_distinct(F.slice(sh, at + 1, c.window))).alias("wsh")))
-
-    cuts = [cut_out(k, c) for k, c in enumerate(plans)]
-    windows = made.select("doc_id", "row", F.explode(F.concat(*cuts)).alias("x")).select("doc_id", "row", "x.k", "x.at", "x.wsh")
     number = F.create_map(*[F.lit(v) for name, c in chosen.items() for v in (name, plans.index(c))])
     own = raw.filter(F.col("template").isin(sorted(chosen))).select("template", once(words(F.col("body"))).alias("w")).withColumn("k", number[F.col("template")])
     body = reduce(lambda o, s: F.when(F.size("w") == s, shingles(F.col("w"), s)).otherwise(o), [s for s in sizes if s < SHINGLE], shingles(F.col("w"), SHINGLE))
     own = own.select("template", "k", once(F.array_sort(F.array_distinct(body))).alias("sh"))
-    by_class = lambda column: reduce(lambda o, k: F.when(F.col("k") == k, signature(column, plans[k].bands)).otherwise(o), range(len(plans)), F.array().cast("array<bigint>"))
-    bands = own.select("template", "k", "sh", F.explode(by_class(F.col("sh"))).alias("band"))
-    values = {(r.k, r.band) for r in bands.select("k", "band").distinct().collect()}  # some bands a template
-    literal = lambda k: F.array(*[F.lit(v) for n, v in sorted(values) if n == k])
-    agree = reduce(lambda o, k: F.when(F.col("k") == k, F.arrays_overlap(F.col("sig"), literal(k))).otherwise(o), range(len(plans)), F.lit(False))
-    banded = windows.withColumn("sig", by_class(F.col("wsh"))).filter(agree)
-    pairs = banded.select("doc_id", "row", "k", "at", "wsh", F.explode("sig").alias("band")).join(bands, ["k", "band"]).dropDuplicates(["doc_id", "row", "k", "at", "template"])
+    by_class = reduce(lambda o, k: F.when(F.col("k") == k, signature(F.col("sh"), plans[k].bands)).otherwise(o), range(len(plans)), F.array().cast("array<bigint>"))
+    known = own.withColumn("sig", by_class).collect()  # a parameter's size
+    literal = lambda values: F.array(*[F.lit(v) for v in values])
+
+    def values(k: int) -> list[int]:
+        return sorted({v for r in known if r.k == k for v in r.sig})
+
+    def retrieved(k: int, c: Class) -> Column:
+        """Windows that agree with a template of the class in a band, with those templates: (template, at, wsh). A band can
+        only agree where its value is one of a template's bands, so signatures are made of the windows around these."""
+        sh = F.col(f"sh{c.size}")
+        spots = F.filter(F.transform(sh, lambda x, i: F.when(x.isin(values(k)), i)), lambda i: i.isNotNull())
+        first = lambda i: F.greatest(F.lit(0), F.ceil((i - (c.window - 1)) / c.stride).cast("int"))
+        starts = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.sequence(first(i), F.floor(i / c.stride).cast("int")))))
+        made = F.transform(starts, lambda w: F.struct((w * c.stride).alias("at"), F.array_sort(F.array_distinct(F.slice(sh, w * c.stride + 1, c.window))).alias("wsh")))
+        signed = F.transform(made, lambda x: F.struct(x["at"].alias("at"), x["wsh"].alias("wsh"), signature(x["wsh"], c.bands).alias("sig")))
+        table = F.array(*[F.struct(F.lit(r.template).alias("template"), literal(r.sig).alias("sig")) for r in known if r.k == k])
+        agree = lambda x: F.transform(F.filter(table, lambda t: F.arrays_overlap(t["sig"], x["sig"])), lambda t: F.struct(t["template"].alias("template"), x["at"].alias("at"), x["wsh"].alias("wsh")))
+        return F.flatten(F.transform(signed, agree))
+
+    def some(size: int) -> Column:
+        every = [v for k, c in enumerate(plans) if c.size == size for v in values(k)]
+        return F.exists(f"sh{size}", lambda x: x.isin(every))
+
+    pairs = made.filter(reduce(lambda o, x: o | x, map(some, sizes))).select("doc_id", "row", F.explode(F.concat(*[retrieved(k, c) for k, c in enumerate(plans)])).alias("x")).select("doc_id", "row", "x.template", "x.at", "x.wsh")
+    pairs = pairs.join(F.broadcast(own.select("template", "sh")), "template")  # the templates: a parameter
     share = F.size(F.array_intersect("wsh", "sh")) / F.size("sh")
     found = pairs.select("doc_id", "row", "template", "at", share.alias("containment")).filter(F.col("containment") >= threshold)
     best = found.groupBy("doc_id", "row", "template").agg(F.max("containment").alias("containment"), F.min_by("at", F.struct(-F.col("containment"), F.col("at"))).cast("long").alias("window"), F.count(F.lit(1)).alias("n_windows"))
