@@ -44,6 +44,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Key of a row's own state: (place in the tree of labels, state over tokens) of every label under way.
+ITEMS = -1
+
+
 class Automaton:
     """Compiled from pairs of byte strings in rank order. vocab: byte string -> id; special: string -> id."""
 
@@ -82,17 +86,13 @@ class Automaton:
                 at = below
             self.ends[at] = t
         self.most = table
-        self._restart(())
-
-    def _restart(self, items: tuple) -> int:
-        """An empty table, with the start and, if any are given, a state of items: its number."""
-        self.table: dict[int, tuple[int, int]] = {}
-        self.sets = [((0, 0),)]
-        self.number = {self.sets[0]: 0}
-        if items and items != self.sets[0]:
-            self.number[items] = 1
-            self.sets.append(items)
-        return len(self.sets) - 1
+        self._restart()
+
+    def _restart(self) -> None:
+        """An empty table. Rows of the old one stay valid where they are in use."""
+        self.held = 0
+        self.start: dict = {ITEMS: ((0, 0),)}
+        self.rows: dict[tuple, dict] = {self.start[ITEMS]: self.start}
 
     def has(self, state: int, token: int) -> bool:
         """Whether the state over tokens has an arc labelled token."""
@@ -116,10 +116,10 @@ class Automaton:
             self.arcs[key] = found
         return found
 
-    def transition(self, number: int, byte: int) -> tuple[int, int]:
-        """(next state, label that ends the path here) of the automaton over bytes; kept in the table."""
+    def transition(self, row: dict, byte: int) -> tuple[dict, int]:
+        """(row of the next state, label that ends the path here) of the automaton over bytes; kept in the row."""
         items, token = [], None
-        for at, q in self.sets[number]:
+        for at, q in row[ITEMS]:
             below = self.tree.get(at << 8 | byte)
             if below is not None:
                 items.append((below, q))
@@ -128,21 +128,20 @@ class Automaton:
         if token is None:
             raise ValueError(f"no label for byte {byte}")
         items = (*items, (0, self.state[token]))
-        if len(self.table) >= self.most:
-            number = self._restart(self.sets[number])
-        after = self.number.get(items)
+        if self.held >= self.most:
+            self._restart()
+        after = self.rows.get(items)
         if after is None:
-            after = self.number[items] = len(self.sets)
-            self.sets.append(items)
-        self.table[number << 8 | byte] = after, token
-        return after, token
+            after = self.rows[items] = {ITEMS: items}
+        self.held += 1
+        row[byte] = step = after, token
+        return step
 
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the one path through word."""
-        q, ends = 0, []
+        row, ends = self.start, []
         for byte in word:
-            step = self.table.get(q << 8 | byte)
-            q, token = step if step is not None else self.transition(q, byte)
+            row, token = row.get(byte) or self.transition(row, byte)
             ends.append(token)
         at, path, size = len(word), [], self.size
         while at:
@@ -165,8 +164,8 @@ class Automaton:
         find = regex.compile(SPLIT).findall
         self._find = find
         #: A run of text between single spaces pre-splits alike wherever it stands.
-        self._chunk = Memo(lambda chunk: b"".join(map(pack, find(chunk))), 600_000)
-        self._word = Memo(pack)
+        self._word = word = Memo(pack, 300_000)
+        self._chunk = Memo(lambda chunk: b"".join(map(word.__getitem__, find(chunk))), 450_000)
         self._double = regex.compile(r"\s\s|^\s|\s$").search
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         return self
