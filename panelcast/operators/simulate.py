@@ -104,6 +104,29 @@ def nowcast_paths(y: np.ndarray, coef: np.ndarray, noise: np.ndarray, changes: l
     return out
 
 
+def mechanistic_paths(y: np.ndarray, coef: np.ndarray, noise: np.ndarray, so_far: float, total: float, natural: Callable[[np.ndarray, int], np.ndarray], depletion: float | None = None, renewal: tuple[float, float, float] | None = None) -> np.ndarray:
+    """Paths of an autoregression that slow down as a season's usual total is used up: each path adds what it has reached
+    on the natural scale (natural(values, step)) to `so_far`, and its step from the last value shrinks by the share that is
+    left to the power of depletion; renewal (size, decay, power) adds a drift that fades with the step and that share.
+    Without a usual total (not positive or nan) they are plain paths."""
+    p = len(coef) - 1
+    tail = np.tile(y[-p:][::-1], (len(noise), 1))
+    used = np.full(len(noise), so_far)
+    out = np.empty_like(noise)
+    for h in range(noise.shape[1]):
+        mean = coef[0] + tail @ coef[1:]
+        if total > 0:
+            left = np.maximum(1 - np.minimum(used / total, 1.5), 0.0)
+            if depletion is not None:
+                mean = tail[:, 0] + (mean - tail[:, 0]) * left**depletion
+            if renewal is not None:
+                mean = mean + renewal[0] * renewal[1] ** (h + 1) * left ** renewal[2]
+        out[:, h] = mean + noise[:, h]
+        tail = np.column_stack([out[:, h], tail[:, :-1]])
+        used = used + np.maximum(natural(out[:, h], h), 0.0)
+    return out
+
+
 def simulate_each(rows: DataFrame, by: list[str], make: Callable[[np.ndarray, np.random.Generator], np.ndarray], levels: list[int], back: Callable[[np.ndarray], np.ndarray], value: str = "z", time: str = "week") -> DataFrame:
     """by, horizon, level, value: quantiles of make()'s paths on the modelling scale, then back to the natural one and cut
     at zero. One group per series; the seed comes from its key."""

@@ -179,17 +179,21 @@ def _climate_fits(spark, d) -> DataFrame:
 
 def climate_ahead(spark, d) -> DataFrame:
     """location, origin, horizon, mean, sd_h of AR(6) with climatology: means by recursion, spreads by impulse responses."""
-    profile = profiles.seasonal(_history(spark, d), ["origin"])
-    later = base.origins(spark, d).select("origin", F.explode(F.array(*map(F.lit, HORIZONS))).alias("h"))
-    later = later.withColumn("woy", calendar.week_of_season(F.date_add("origin", 7 * F.col("h"))))
-    ahead = features.with_profile(later, profile, ["origin"]).groupBy("origin").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "clim"))), lambda x: x["clim"]).alias("ahead"))
-    rows = _climate_fits(spark, d).join(ahead, "origin")
+    rows = _climate_fits(spark, d).join(_profile_ahead(spark, d), "origin")
     last = F.get("coef", F.lit(7))
     rows = rows.withColumns({"means": linear.extended(F.slice("coef", 1, 7), F.col("tail"), F.transform("ahead", lambda c: last * c), 4), "spreads": linear.spread(F.col("coef"), 6, 4)})
     out = rows.select(*_OL, "sd", F.posexplode(F.arrays_zip("means", "spreads")).alias("k", "x"))
     return out.select(*_OL, (F.col("k") + 1).alias("horizon"), F.col("x.means").alias("mean"), (F.col("sd") * F.col("x.spreads")).alias("sd_h"))
 
 
+def _profile_ahead(spark, d) -> DataFrame:
+    """origin, ahead: each origin's profile at its horizons."""
+    profile = profiles.seasonal(_history(spark, d), ["origin"])
+    later = base.origins(spark, d).select("origin", F.explode(F.array(*map(F.lit, HORIZONS))).alias("h"))
+    later = later.withColumn("woy", calendar.week_of_season(F.date_add("origin", 7 * F.col("h"))))
+    return features.with_profile(later, profile, ["origin"]).groupBy("origin").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "clim"))), lambda x: x["clim"]).alias("ahead"))
+
+
 _AHEAD_LEVELS = "lv(level, q) AS (VALUES " + ", ".join(f"({k}, {q!r}::DOUBLE)" for k, q in NORMAL.items()) + ")"
 
 
@@ -203,6 +207,51 @@ def ar_climate_quantiles(spark, d):
     return rounded(quantiles.from_normal(climate_ahead(spark, d), "log", "climate_ar6"), "value", digits=5)
 
 
+_STEP = "coef[1] + list_sum(list_transform(range(1, 7), lambda i: coef[i + 1] * tail[i]))"
+
+
+@query(f"""WITH RECURSIVE {PANEL}, {ORIGINS}, {sql_lags('l', 6)}, s AS (SELECT origin, location, {sql_system(['1.0', *_lag_names(6)], 'z')}, arg_max([z, lag1, lag2, lag3, lag4, lag5], week) AS tail FROM l, o WHERE week <= origin GROUP BY 1, 2), {sql_solve('c', 's', 'origin, location')},
+bk AS (SELECT origin, location, z, week, row_number() OVER (PARTITION BY origin, location ORDER BY week DESC) AS b FROM p, o WHERE week <= origin), sl AS (SELECT origin, location, regr_slope(z, -b) AS slope FROM bk WHERE b <= 9 GROUP BY 1, 2),
+f AS (SELECT c.*, tail, slope, {_sd(7)} AS sd FROM c JOIN s USING (origin, location) JOIN sl USING (origin, location)),
+a AS (SELECT origin, location, coef, sd, slope, 0 AS h, tail, [1.0, 0, 0, 0, 0, 0]::DOUBLE[] AS psi, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS v FROM f
+ UNION ALL SELECT origin, location, coef, sd, slope, h + 1, list_concat([{_STEP} + 0.5 * pow(0.7, h) * slope], tail[1:5]), list_concat([list_sum(list_transform(range(1, 7), lambda i: coef[i + 1] * psi[i]))], psi[1:5]), {_STEP} + 0.5 * pow(0.7, h) * slope, v + psi[1] * psi[1] FROM a WHERE h < 4), {_AHEAD_LEVELS}
+SELECT 'momentum' AS model, location, origin, h::INTEGER AS horizon, origin + 7 * h::INTEGER AS target_week, level, round(greatest(exp(mean + q * sd * sqrt(v)), 0), 5) AS value FROM a, lv WHERE h > 0""")
+def ar_momentum_quantiles(spark, d):
+    """AR(6) with a drift of half the slope of the last nine values, which fades by 0.7 a step: quantiles in closed form."""
+    lagged = features.lags(base.logged(spark, d), "z", 6, ["location"])
+    slope = F.regr_slope("z", F.col("_i")).over(Window.partitionBy("location").orderBy("week").rowsBetween(-8, 0))
+    numbered = base.logged(spark, d).withColumn("_i", F.row_number().over(Window.partitionBy("location").orderBy("week")))
+    ends = numbered.withColumn("slope", slope).select("location", "week", "slope")
+    fits = linear.running(lagged, ["location"], "week", [ONE, *map(F.col, _lag_names(6))], F.col("z"))
+    rows = fits.join(lagged.select("location", "week", F.array("z", *_lag_names(5)).alias("tail")), ["location", "week"]).join(ends, ["location", "week"])
+    push = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda h: 0.5 * F.pow(F.lit(0.7), h) * F.col("slope"))
+    ahead = panel.latest(rows, base.origins(spark, d), ["location"]).withColumns({"means": linear.extended(F.col("coef"), F.col("tail"), push, 4), "spreads": linear.spread(F.col("coef"), 6, 4)})
+    out = ahead.select(*_OL, "sd", F.posexplode(F.arrays_zip("means", "spreads")).alias("k", "x"))
+    out = out.select(*_OL, (F.col("k") + 1).alias("horizon"), F.col("x.means").alias("mean"), (F.col("sd") * F.col("x.spreads")).alias("sd_h"))
+    return rounded(quantiles.from_normal(out, "log", "momentum"), "value", digits=5)
+
+
+@query(f"""WITH RECURSIVE {_CLIM_FIT}, rc AS (SELECT r.origin, location, z - clim AS e, row_number() OVER (PARTITION BY r.origin, location ORDER BY week DESC) AS b FROM r), sv AS (SELECT origin, avg(e) AS severity FROM (SELECT origin, location, avg(e) AS e FROM rc WHERE b <= 8 GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 3),
+fw AS (SELECT origin, h, s + 0.5 * (severity - m) AS clim FROM o JOIN sp USING (origin) JOIN sv USING (origin) JOIN (SELECT origin, avg(z - clim) AS m FROM r GROUP BY 1) USING (origin), (SELECT unnest([1, 2, 3, 4]) AS h) hh WHERE sp.woy = ({base.sql_woy('(origin + 7 * h)')} - 1) % 52 + 1),
+a AS (SELECT origin, location, coef, 0 AS h, tail, 0.0::DOUBLE AS mean FROM f
+ UNION ALL SELECT a.origin, location, coef, fw.h, list_concat([{_STEP} + coef[8] * clim], tail[1:5]), {_STEP} + coef[8] * clim FROM a JOIN fw ON fw.origin = a.origin AND fw.h = a.h + 1)
+SELECT location, origin, h::INTEGER AS horizon, round(exp(mean), 5) AS median FROM a WHERE h > 0""")
+def ar_severity_points(spark, d):
+    """Medians of AR(6) with climatology, the season ahead moved by half of how far the last eight weeks of all locations lie
+    off their usual distance to it."""
+    rows = _climate_rows(spark, d, 6)
+    back = F.row_number().over(Window.partitionBy(*_OL).orderBy(F.desc("week")))
+    own = rows.withColumns({"e": F.col("z") - F.col("clim"), "b": back})
+    severity = own.filter("b <= 8").groupBy(*_OL).agg(F.avg("e").alias("e")).groupBy("origin").agg(F.avg("e").alias("severity"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    usual = own.groupBy("origin").agg(F.avg("e").alias("m"))
+    used = severity.join(usual, "origin").select("origin", (0.5 * (F.col("severity") - F.col("m"))).alias("used"))
+    fits = _climate_fits(spark, d).join(_profile_ahead(spark, d), "origin").join(used, "origin")
+    last = F.get("coef", F.lit(7))
+    means = linear.extended(F.slice("coef", 1, 7), F.col("tail"), F.transform("ahead", lambda c: last * (c + F.col("used"))), 4)
+    out = fits.select(*_OL, F.posexplode(means).alias("k", "mean")).select(*_OL, (F.col("k") + 1).alias("horizon"), F.exp("mean").alias("median"))
+    return rounded(out, "median", digits=5)
+
+
 # other designs
 
 
