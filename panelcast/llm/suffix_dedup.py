@@ -212,7 +212,7 @@ def _narrowed(width: int, length: int):
     return run
 
 
-def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _split(hot: DataFrame, length: int, shard_rows: int, many: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(spans, dealt rows) of the segments of hashes that are too large for a sort: repeated parts, and the parts to
     sort under their new hashes."""
     spans, sorts = [], []
@@ -222,7 +222,7 @@ def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame
         one = F.min(F.struct(F.xxhash64("id", "th", "at", "n").alias("row"), "id", "th", "at", "n", "alone", "seg", "p"))
         groups = cut(made.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), one.alias("r")))
         kinds = cut(groups.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-        spans.append(_copied(made.filter("alone").select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, shard_rows))
+        spans.append(_copied(made.filter("alone").select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, many))
         left = groups.join(kinds, "h").select("r.id", "r.th", "r.at", "r.n", (F.col("r.alone") & (F.col("copies") == 1)).alias("alone"), "r.seg", "h", (F.col("kinds") > shard_rows).alias("hot"), "r.p")
         if width == widths[-1]:
             return spans, [*sorts, left]
@@ -234,8 +234,9 @@ def _split(hot: DataFrame, length: int, shard_rows: int) -> tuple[list[DataFrame
     return spans, sorts
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 4_000, task_rows: int = 25_000, memory: int = 32_000_000, few: int = 1 << 20) -> DataFrame:
-    """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text)."""
+def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_bytes: int = 5_000_000, shard_rows: int = 4_000, many: int = 25_000, memory: int = 32_000_000, few: int = 1 << 20) -> DataFrame:
+    """id, th, spans (start, end of repeated byte runs, unmerged) from docs (id, th, text). Hashes with over shard_rows different
+    segments are split; groups of over `many` equal ones may be broadcast; `many` segments make a task on average."""
     found = cut(docs.select("id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(_segment_rows(length, gram), SEGMENT_SQL))
     # counts and groups are stored, so that both sides of the joins with them come from a shuffle: only then does Spark
     # split a hash that holds a large part of the rows
@@ -247,11 +248,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
     tagged = hits.filter("mixed").withColumn("row", F.xxhash64("id", "th", "at"))
     groups = cut(tagged.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")))
     needed = cut(groups.groupBy("h").agg(F.min("copies").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1").select("h", (F.col("kinds") > shard_rows).alias("hot")))
-    copied = _copied(tagged.select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, shard_rows)
+    copied = _copied(tagged.select("id", "th", "at", "n", "h", "d"), groups.select("h", "d", "copies"), length, many)
     chosen = groups.join(needed, "h").join(tagged.select("h", "d", "row", "id", "th", "at", "n"), ["h", "d", "row"])
     chosen = cut(chosen.select("id", "th", F.struct("at", "n", (F.col("copies") == 1).alias("alone"), "h", "hot").alias("seg")))
     tally = chosen.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("seg.hot").cast("long")), F.lit(0)).alias("hot")).first()
-    shards = max(1, -(-tally.rows // task_rows))
+    shards = max(1, -(-tally.rows // many))
     by_text = chosen.groupBy("id", "th").agg(F.collect_list("seg").alias("segs"))
     texts = docs.select("id", "th", "text")
     cut_out = texts.join(by_text.select(F.col("id").alias("i"), F.col("th").alias("t"), "segs"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
@@ -271,7 +272,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, gram: int = 32, shard_byt
     found_spans = []
     if tally.hot:
         dealt = cut(dealt)
-        found_spans, more = _split(dealt.filter("hot"), length, shard_rows)
+        found_spans, more = _split(dealt.filter("hot"), length, shard_rows, many)
         dealt = dealt.filter("NOT hot")
         for x in more:
             dealt = dealt.unionByName(x)
