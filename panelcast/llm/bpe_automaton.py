@@ -7,9 +7,10 @@ in a merge gadget:
 * every state that has an arc u gets an arc t, to where v led from there.
 
 A merge whose u v is no path by then can never be made and gets no gadget. The paths of the final automaton are
-exactly the token sequences that the merges produce, so a word has one path, and so has each of its prefixes. A copy
-is stored as (state copied, label removed, merge number) and an arc is looked up by walking those; written out, 50,000
-states with some 10,000 arcs each would not fit in memory.
+exactly the token sequences that the merges produce, so a word has one path, and so has each of its prefixes. States are
+numbers; written out, 50,000 of them with some 10,000 arcs each would not fit in memory. Whether the state after u has
+an arc x follows from the gadgets: one for (a, b) has taken it if a is u, or a last part of u that was not yet merged
+into the next larger one when the gadget came, and b likewise a first part of x (at the same merge, too).
 
 Encoding is by the deterministic automaton over bytes that follows from it: its states are the sets of (place in the
 tree of labels, state over tokens) of all labels that are under way, and a transition gives the one label that ends
@@ -23,6 +24,7 @@ library does; a repeated row gives a repeated result; an empty table gives an em
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from array import array
@@ -56,21 +58,20 @@ class Automaton:
         self.label = {i: b for b, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.made: dict[int, int] = {}  # token -> merge that made it
         self.left: dict[int, int] = {}  # token -> its left part
+        self.right: dict[int, int] = {}
+        self.gadget: dict[int, int] = {}  # left part << 32 | right part -> merge
         self.state = {vocab[bytes([b])]: 0 for b in range(256) if bytes([b]) in vocab}
-        self.copied, self.removed, self.since = [0], [-1], [-1]
-        self.arcs: dict[int, bool] = {}
+        self.after = [(-1, 0)]  # state -> (token that led there first, merge after the one that made it)
         for m, (a, b) in enumerate(merges):
             u, v, t = vocab[a], vocab[b], vocab[a + b]
             if u not in self.state or v not in self.state or not self.has(self.state[u], v):
                 continue  # u v is no path: this merge is never made
-            self.made[t], self.left[t] = m, u
-            after = self.state[v]
-            self.copied.append(self.state[u])
-            self.removed.append(v)
-            self.since.append(m)
-            self.state[u] = len(self.copied) - 1
-            self.state[t] = after
-            self.arcs.clear()
+            self.made[t], self.left[t], self.right[t] = m, u, v
+            self.gadget[u << 32 | v] = m
+            target = self.state[v]
+            self.state[u] = len(self.after)  # a copy of the state that u led to, without the arc v
+            self.after.append((u, m + 1))
+            self.state[t] = target
         # the tree of the labels that are on some path: (place << 8 | byte) -> place
         self.tree: dict[int, int] = {}
         self.ends: dict[int, int] = {}  # place -> token
@@ -96,25 +97,19 @@ class Automaton:
 
     def has(self, state: int, token: int) -> bool:
         """Whether the state over tokens has an arc labelled token."""
-        key = state << 32 | token
-        found = self.arcs.get(key)
-        if found is None:
-            q, x, made, since = state, token, self.made, self.since
-            while True:
-                if q == 0:
-                    found = True
-                    break
-                if made.get(x, -1) >= since[q]:  # the arc came after the copy, with the one of its left part
-                    x = self.left[x]
-                elif x == self.removed[q]:
-                    found = False
-                    break
-                else:
-                    q = self.copied[q]
-            if len(self.arcs) > 1_000_000:
-                self.arcs.clear()
-            self.arcs[key] = found
-        return found
+        if not state:
+            return True
+        gadget, made, left, right = self.gadget.get, self.made.get, self.left.get, self.right.get
+        a, before = self.after[state]
+        while a is not None:
+            b, upto = token, 1 << 60
+            while b is not None:
+                m = gadget(a << 32 | b)
+                if m is not None and m < before and m <= upto:
+                    return False
+                upto, b = made(b), left(b)
+            before, a = made(a), right(a)
+        return True
 
     def transition(self, row: dict, byte: int) -> tuple[dict, int]:
         """(row of the next state, label that ends the path here) of the automaton over bytes; kept in the row."""
@@ -161,11 +156,16 @@ class Automaton:
     def ready(self) -> Automaton:
         """With what one worker needs: the pattern and a bounded table of words seen."""
         pack = lambda word: array("I", self.encode_word(word.encode())).tobytes()
-        find = regex.compile(SPLIT).findall
-        self._find = find
-        #: A run of text between single spaces pre-splits alike wherever it stands.
-        self._word = word = Memo(pack, 300_000)
-        self._chunk = Memo(lambda chunk: b"".join(map(word.__getitem__, find(chunk))), 450_000)
+        self._find = find = regex.compile(SPLIT).findall
+
+        def run(chunk: str) -> bytes:
+            """A run of text between single spaces pre-splits alike wherever it stands; its parts are runs as well."""
+            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                return pack(chunk)
+            parts = find(chunk)
+            return pack(chunk) if len(parts) == 1 else b"".join(map(self._chunk.__getitem__, parts))
+
+        self._chunk = Memo(run, 600_000)
         self._double = regex.compile(r"\s\s|^\s|\s$").search
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         return self
@@ -183,7 +183,7 @@ class Automaton:
 
     def _plain(self, text: str):
         if self._double(text):
-            yield from map(self._word.__getitem__, self._find(text))
+            yield from map(self._chunk.__getitem__, self._find(text))
         elif text:
             first, *rest = text.split(" ")
             yield self._chunk[first]
@@ -228,6 +228,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_i
     def rows(columns):
         automaton = _worker(content)
         label = automaton.label
+        gc.disable()  # the tables are long-lived and hold no garbage: looking through them again and again took a quarter
         for key, text in zip(*columns):
             ids = b"".join(automaton.pieces(text or ""))
             back = b"".join(map(label.__getitem__, memoryview(ids).cast("I")))
@@ -239,6 +240,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, id_col: str = "doc_i
                 yield key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
             else:
                 yield key, len(ids) // 4, ids, back.decode()
+        gc.enable()
 
     chosen = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     if digests:
