@@ -88,7 +88,8 @@ def running(rows: DataFrame, by: list[str], time: str, xs: list[Column], y: Colu
 
 
 def running_sums(made: DataFrame, by: list[str], time: str, n: int, penalties: list[Column | float] | None = None, least: int | None = None, last: int | None = None) -> DataFrame:
-    """The same from rows of products (_s0 .., _n), which may be sums of several rows of a time already."""
+    """The same from rows of products (_s0 .., _n), which may be sums of several rows of a time already. Without `by` that is
+    wanted: one task then has a row per time, and no more."""
     w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding if last is None else 1 - last, 0)
     names = [f"_s{k}" for k in range(n * (n + 1) // 2 + n + 2)]
     out = made.select(*by, time, *[F.sum(c).over(w).alias(c) for c in names], F.sum("_n").over(w).alias("n")).filter(F.col("n") >= (n + 1 if least is None else least))
