@@ -7,17 +7,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions import calendar
 from panelcast.functions.distributions import NORMAL
-from panelcast.operators import diagnostics, features, fit, linear, panel, profiles, quantiles
+from panelcast.operators import diagnostics, features, linear, panel, profiles, quantiles
 from panelcast.plans import base
 from panelcast.plans.base import HORIZONS, ORIGINS, PANEL, sql_solve, sql_sse, sql_system
 from panelcast.plans.queries import HIST, SEASONAL, _history, query, rounded
 
-ONE = F.lit(1.0)
+
+def _one() -> Column:
+    """The constant of a design; a column needs a session, so it is made when it is used."""
+    return F.lit(1.0)
 
 
 def _terms(fits: DataFrame, by: list[str], more: list[str]) -> DataFrame:
@@ -55,7 +58,7 @@ f AS (SELECT c.*, n, {_sd(7)} AS sd FROM c JOIN s USING (origin, location)) {_sq
 def ar6_fit(spark, d):
     """Autoregressions of order 6 at every origin, from running sums."""
     rows = features.lags(base.logged(spark, d), "z", 6, ["location"])
-    fits = linear.running(rows, ["location"], "week", [ONE, *map(F.col, _lag_names(6))], F.col("z"))
+    fits = linear.running(rows, ["location"], "week", [_one(), *map(F.col, _lag_names(6))], F.col("z"))
     return _terms(_at_origins(spark, d, fits).select(*_OL, "coef", "sd", "n"), [*_OL, "n"], ["sd"])
 
 
@@ -64,7 +67,7 @@ f AS (SELECT c.*, {_sd(7)} AS sd FROM c JOIN s USING (origin)) {_sql_terms('f',
 def ar6_fullpool(spark, d):
     """One regression of all locations' rows: sums by week first, then running ones."""
     rows = features.lags(base.logged(spark, d), "z", 6, ["location"])
-    xs = [ONE, *map(F.col, _lag_names(6))]
+    xs = [_one(), *map(F.col, _lag_names(6))]
     weeks = rows.groupBy("week").agg(*[F.sum(x).alias(f"_s{k}") for k, x in enumerate(linear.products(xs, F.col("z")))], F.count(F.lit(1)).alias("_n"))
     return _terms(_at_origins(spark, d, linear.running_sums(weeks, [], "week", 7)), ["origin"], ["sd"])
 
@@ -74,7 +77,7 @@ f AS (SELECT c.*, {_sd(4)} AS sd FROM c JOIN s USING (origin, location)) {_sql_t
 def ar_rolling(spark, d):
     """Order 3 on the last 104 rows of each origin."""
     rows = features.lags(base.logged(spark, d), "z", 3, ["location"])
-    fits = linear.running(rows, ["location"], "week", [ONE, *map(F.col, _lag_names(3))], F.col("z"), last=104)
+    fits = linear.running(rows, ["location"], "week", [_one(), *map(F.col, _lag_names(3))], F.col("z"), last=104)
     return _terms(_at_origins(spark, d, fits), _OL, ["sd"])
 
 
@@ -95,13 +98,13 @@ f AS (SELECT c.*, {_sd(4)} AS sd FROM c JOIN s USING (origin, location)) {_sql_t
 @query(_weighted_sql("pow(0.99, age)"))
 def ar_discounted(spark, d):
     """Order 3, weights 0.99^age."""
-    return _terms(linear.fitted(_aged(spark, d, 3), _OL, [ONE, *map(F.col, _lag_names(3))], F.col("z"), F.pow(F.lit(0.99), "age")), _OL, ["sd"])
+    return _terms(linear.fitted(_aged(spark, d, 3), _OL, [_one(), *map(F.col, _lag_names(3))], F.col("z"), F.pow(F.lit(0.99), "age")), _OL, ["sd"])
 
 
 @query(_weighted_sql("exp(-0.5 * (age / 26.0) * (age / 26.0))"))
 def ar_kernel(spark, d):
     """Order 3, half-Gaussian weights of 26 weeks."""
-    return _terms(linear.fitted(_aged(spark, d, 3), _OL, [ONE, *map(F.col, _lag_names(3))], F.col("z"), F.exp(-0.5 * (F.col("age") / 26) * (F.col("age") / 26))), _OL, ["sd"])
+    return _terms(linear.fitted(_aged(spark, d, 3), _OL, [_one(), *map(F.col, _lag_names(3))], F.col("z"), F.exp(-0.5 * (F.col("age") / 26) * (F.col("age") / 26))), _OL, ["sd"])
 
 
 @query(f"""WITH RECURSIVE {_AGED}, s AS (SELECT origin, location, {sql_system(['1.0', *_lag_names(3)], 'z', 'pow(0.99, age)', ['pow(0.99, count(*)) / 1e6'] * 4)} FROM r GROUP BY 1, 2), {sql_solve('c', 's', 'origin, location')} {_sql_terms('c', 'origin, location')}""")
@@ -109,7 +112,7 @@ def rls_fit(spark, d):
     """Recursive least squares with forgetting 0.99 from a diffuse start of 1e6: its end is that of discounted least squares
     with the start's weight as a penalty."""
     start = F.pow(F.lit(0.99), F.col("n")) / 1e6
-    return _terms(linear.fitted(_aged(spark, d, 3), _OL, [ONE, *map(F.col, _lag_names(3))], F.col("z"), F.pow(F.lit(0.99), "age"), [start] * 4), _OL, [])
+    return _terms(linear.fitted(_aged(spark, d, 3), _OL, [_one(), *map(F.col, _lag_names(3))], F.col("z"), F.pow(F.lit(0.99), "age"), [start] * 4), _OL, [])
 
 
 _WAVES = [(fn, k) for k in (1, 2) for fn in ("sin", "cos")]
@@ -125,7 +128,7 @@ f AS (SELECT c.*, sqrt({sql_sse('s0')} / greatest(s0.sw - 7, 1)) AS sd FROM c JO
 
 def _harmonics(spark, d, penalty: float) -> DataFrame:
     rows = features.lags(base.logged(spark, d), "z", 2, ["location"])
-    xs = [ONE, F.col("lag1"), F.col("lag2"), *calendar.fourier(F.col("woy"), 2)]
+    xs = [_one(), F.col("lag1"), F.col("lag2"), *calendar.fourier(F.col("woy"), 2)]
     fits = linear.running(rows, ["location"], "week", xs, F.col("z"), [0.0] * 3 + [penalty] * 4)
     return _terms(_at_origins(spark, d, fits), _OL, ["sd"])
 
@@ -172,7 +175,7 @@ def ar_climate_fit(spark, d):
 
 def _climate_fits(spark, d) -> DataFrame:
     rows = _climate_rows(spark, d, 6)
-    fits = linear.fitted(rows, _OL, [ONE, *map(F.col, _lag_names(6)), F.col("clim")], F.col("z"))
+    fits = linear.fitted(rows, _OL, [_one(), *map(F.col, _lag_names(6)), F.col("clim")], F.col("z"))
     tails = rows.groupBy(*_OL).agg(F.max_by(F.array("z", *_lag_names(5)), "week").alias("tail"))
     return fits.join(tails, _OL)
 
@@ -222,7 +225,7 @@ def ar_momentum_quantiles(spark, d):
     slope = F.regr_slope("z", F.col("_i")).over(Window.partitionBy("location").orderBy("week").rowsBetween(-8, 0))
     numbered = base.logged(spark, d).withColumn("_i", F.row_number().over(Window.partitionBy("location").orderBy("week")))
     ends = numbered.withColumn("slope", slope).select("location", "week", "slope")
-    fits = linear.running(lagged, ["location"], "week", [ONE, *map(F.col, _lag_names(6))], F.col("z"))
+    fits = linear.running(lagged, ["location"], "week", [_one(), *map(F.col, _lag_names(6))], F.col("z"))
     rows = fits.join(lagged.select("location", "week", F.array("z", *_lag_names(5)).alias("tail")), ["location", "week"]).join(ends, ["location", "week"])
     push = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda h: 0.5 * F.pow(F.lit(0.7), h) * F.col("slope"))
     ahead = panel.latest(rows, base.origins(spark, d), ["location"]).withColumns({"means": linear.extended(F.col("coef"), F.col("tail"), push, 4), "spreads": linear.spread(F.col("coef"), 6, 4)})
@@ -269,7 +272,7 @@ def ar_diff_aic(spark, d):
     steps = base.logged(spark, d).withColumn("dz", features.difference("z", ["location"])).filter("dz IS NOT NULL")
     fits = []
     for p in (1, 2, 3, 4):
-        rows = linear.running(features.lags(steps, "dz", p, ["location"]), ["location"], "week", [ONE, *map(F.col, _lag_names(p))], F.col("dz"))
+        rows = linear.running(features.lags(steps, "dz", p, ["location"]), ["location"], "week", [_one(), *map(F.col, _lag_names(p))], F.col("dz"))
         fits.append(_at_origins(spark, d, rows).withColumns({"p": F.lit(p), "aic": F.col("n") * F.log(F.col("sse") / F.col("n")) + 2 * (p + 1)}))
     both = reduce(DataFrame.unionByName, fits)
     best = both.groupBy(*_OL).agg(F.min_by(F.struct("p", "aic", F.get("coef", F.lit(1)).alias("first")), F.struct(F.round("aic", 6), F.col("p"))).alias("b")).select(*_OL, "b.*")
@@ -289,7 +292,7 @@ def direct_fit(spark, d):
     for h in HORIZONS:
         w = Window.partitionBy("location").orderBy("week")
         rows = base.logged(spark, d).withColumns({"a": F.lag("z", h).over(w), "b": F.lag("z", h + 1).over(w)}).filter("b IS NOT NULL")
-        fits.append(_at_origins(spark, d, linear.running(rows, ["location"], "week", [ONE, F.col("a"), F.col("b")], F.col("z"))).withColumn("horizon", F.lit(h)))
+        fits.append(_at_origins(spark, d, linear.running(rows, ["location"], "week", [_one(), F.col("a"), F.col("b")], F.col("z"))).withColumn("horizon", F.lit(h)))
     return _terms(reduce(DataFrame.unionByName, fits), [*_OL, "horizon"], ["sd"])
 
 
@@ -304,7 +307,7 @@ def ridge_direct(spark, d):
     w = Window.partitionBy("location").orderBy("week")
     names = _RIDGE_X[1:]
     rows = base.logged(spark, d).withColumns({n: F.lag("z", k + 2).over(w) for k, n in enumerate(names)}).filter("a3 IS NOT NULL")
-    fits = linear.running(rows, ["location"], "week", [ONE, *map(F.col, names)], F.col("z"), linear.standardised(5, 5.0))
+    fits = linear.running(rows, ["location"], "week", [_one(), *map(F.col, names)], F.col("z"), linear.standardised(5, 5.0))
     return _terms(_at_origins(spark, d, fits), _OL, [])
 
 
@@ -327,7 +330,7 @@ def _ridge_var(spark, d, cross_only: bool) -> DataFrame:
     fits = []
     for x in _PLACES:
         penalties = [0.0, *[0.0 if cross_only and n[0] == x else 10.0 for n in _VAR_X[1:]]]
-        fits.append(linear.running(rows, [], "week", [ONE, *map(F.col, _VAR_X[1:])], F.col(x), penalties).withColumn("location", F.lit(x)))
+        fits.append(linear.running(rows, [], "week", [_one(), *map(F.col, _VAR_X[1:])], F.col(x), penalties).withColumn("location", F.lit(x)))
     return _terms(_at_origins(spark, d, reduce(DataFrame.unionByName, fits)), _OL, [])
 
 
@@ -416,7 +419,7 @@ SELECT b.origin, b.location, round(any_value(slope), 6) AS slope, round(sqrt(sum
 def ar1_blend_sd(spark, d):
     """Coefficients blended with the pooled ones, and the residual deviation under the blend, from the sums of the fits."""
     lagged = features.lags(base.logged(spark, d), "z", 1, ["location"])
-    xs = [ONE, F.col("lag1")]
+    xs = [_one(), F.col("lag1")]
     rows = panel.expanding(lagged, base.origins(spark, d))
     own = linear.fitted(rows, _OL, xs, F.col("z"), gram=True)
     pooled = linear.fitted(rows, ["origin"], xs, F.col("z")).select("origin", F.col("coef").alias("p"))

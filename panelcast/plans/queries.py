@@ -13,7 +13,7 @@ from panelcast.functions import calendar, distributions, transforms
 from panelcast.functions.distributions import LEVELS, NORMAL
 from panelcast.operators import bayes, diagnostics, features, fit, panel, profiles, quantiles, scoring, selection, simulate, vintage
 from panelcast.plans import base
-from panelcast.plans.base import AR1, CUT, FORECASTS, HORIZONS, ORIGINS, PAIRS, PANEL, SCORES, TRIANGLE, TRUTH, sql_woy
+from panelcast.plans.base import AR1, CUT, FORECASTS, HORIZONS, ORIGINS, PAIRS, PANEL, SCORES, TRIANGLE, sql_woy
 from panelcast.sources import validation
 from panelcast.sources.files import read_table
 from panelcast.streaming import revisions

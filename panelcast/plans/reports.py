@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import calendar, distributions, transforms
 from panelcast.functions.distributions import LEVELS, NORMAL
 from panelcast.operators import diagnostics, features, fit, panel, profiles, quantiles, scoring, selection, simulate, vintage
 from panelcast.plans import base
-from panelcast.plans.base import AR1, CUT, FORECASTS, HORIZONS, ORIGINS, PANEL, SCORES, TRIANGLE
-from panelcast.plans.queries import _COMP, _GRID, HIST, REV, SEASONAL, SERIES, WIDTH, _cut, _history, query, rounded
+from panelcast.plans.base import AR1, FORECASTS, HORIZONS, ORIGINS, PANEL, SCORES, TRIANGLE
+from panelcast.plans.queries import _COMP, _GRID, HIST, SEASONAL, SERIES, WIDTH, _history, query, rounded
 from panelcast.sources import validation
 from panelcast.sources.files import read_table
 from panelcast.streaming import revisions
