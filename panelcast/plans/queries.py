@@ -37,8 +37,9 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """nudge moves values that lie halfway between two roundings, whose last bits depend on the order of a sum."""
+    return df.withColumns({c: F.round(F.col(c) + nudge, digits) + F.lit(0.0) for c in columns})
 
 
 # panel and calendar
@@ -412,9 +413,9 @@ def climatology_quantiles(spark, d):
     return rounded(base.climate_table(spark, d), "value")
 
 
-@query(f"WITH {FORECASTS}, {SCORES} SELECT model, location, origin, horizon, target_week, round(wis, 6) AS wis, round(dispersion, 6) AS dispersion, round(overprediction, 6) AS overprediction, round(underprediction, 6) AS underprediction, n_quantiles FROM sc")
+@query(f"WITH {FORECASTS}, {SCORES} SELECT model, location, origin, horizon, target_week, round(wis + 1e-9, 6) AS wis, round(dispersion + 1e-9, 6) AS dispersion, round(overprediction + 1e-9, 6) AS overprediction, round(underprediction + 1e-9, 6) AS underprediction, n_quantiles FROM sc")
 def wis_score(spark, d):
-    return rounded(scoring.scored(base.forecasts(spark, d), base.truth(spark, d)), "wis", "dispersion", "overprediction", "underprediction")
+    return rounded(scoring.scored(base.forecasts(spark, d), base.truth(spark, d)), "wis", "dispersion", "overprediction", "underprediction", nudge=1e-9)
 
 
 @query(f"WITH {FORECASTS}, {SCORES} SELECT location, round(avg(wis), 6) AS wis, count(*) AS n FROM sc WHERE model = 'ar1' GROUP BY 1")
@@ -568,9 +569,9 @@ def worst_origin(spark, d):
     return rounded(selection.worst(scoring.scored(base.forecasts(spark, d), base.truth(spark, d)), "origin"), "worst_wis")
 
 
-@query(f"WITH {FORECASTS}, {SCORES}, w AS (SELECT origin, avg(CASE WHEN model = 'ar1' THEN wis END) AS ar1, avg(CASE WHEN model = 'climate' THEN wis END) AS climate, avg(CASE WHEN model = 'walk' THEN wis END) AS walk FROM sc GROUP BY 1) SELECT origin, round(ar1, 6) AS ar1, round(climate, 6) AS climate, round(walk, 6) AS walk, round(list_avg(list_filter([ar1, climate, walk], lambda x: x IS NOT NULL)), 6) AS mean FROM w")
+@query(f"WITH {FORECASTS}, {SCORES}, w AS (SELECT origin, avg(CASE WHEN model = 'ar1' THEN wis END) AS ar1, avg(CASE WHEN model = 'climate' THEN wis END) AS climate, avg(CASE WHEN model = 'walk' THEN wis END) AS walk FROM sc GROUP BY 1) SELECT origin, round(ar1 + 1e-9, 6) AS ar1, round(climate + 1e-9, 6) AS climate, round(walk + 1e-9, 6) AS walk, round(list_avg(list_filter([ar1, climate, walk], lambda x: x IS NOT NULL)) + 1e-9, 6) AS mean FROM w")
 def pivot_wis(spark, d):
-    return rounded(selection.wide(scoring.scored(base.forecasts(spark, d), base.truth(spark, d)), ["ar1", "climate", "walk"]), "ar1", "climate", "walk", "mean")
+    return rounded(selection.wide(scoring.scored(base.forecasts(spark, d), base.truth(spark, d)), ["ar1", "climate", "walk"]), "ar1", "climate", "walk", "mean", nudge=1e-9)
 
 
 @query(f"WITH {FORECASTS} SELECT model, location, origin, horizon, target_week FROM f WHERE level = 500 AND NOT EXISTS (SELECT 1 FROM truth WHERE truth.location = f.location AND truth.target_week = f.target_week)")
