@@ -78,7 +78,8 @@ def _level(tree: DataFrame, fan: int, z_bound: float, alike: float) -> DataFrame
     )
     own = cut(own)
     sums = own.groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("all_n"), F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
-    both = own.join(sums.join(squares, node), node)
+    totals = cut(sums.join(squares, node))
+    both = own.join(totals, node)
     variable = (F.col("kids") > fan) & (F.col("n") * fan < F.col("all_n"))
     # the child against the node's other children
     dot, rest = F.col("cv") - F.col("cc"), F.col("vv") - 2 * F.col("cv") + F.col("cc")
@@ -89,14 +90,14 @@ def _level(tree: DataFrame, fan: int, z_bound: float, alike: float) -> DataFrame
     z = F.when(known, (F.try_divide(F.col("bad"), F.col("lab")) - F.try_divide(bad2, lab2)) / F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("lab")) + F.try_divide(F.lit(1.0), lab2))))
     side = F.when(z > z_bound, "+").when(z < -z_bound, "-").otherwise("=")
     literal = F.when(F.col("seg").startswith("<"), F.concat(F.lit("<"), F.col("seg"))).otherwise(F.col("seg"))
-    # stored, so that the join isn't bound to the nodes' partitions and a node with most of the rows is split
+    # stored like the totals, so that the join isn't bound to the nodes' partitions and a node with most rows is split
     marked = cut(both.select(*child, literal.alias("literal"), F.when(variable, "*").when(like, side).alias("side")))
     # of merged branches there are at most `fan` at a node; variable and single ones need no list
     names = marked.filter("side <> '*'").groupBy(*node, "side").agg(F.sort_array(F.collect_set("literal")).alias("names"))
     joined = F.concat(F.lit("<"), F.array_join("names", "|"), F.lit(">"))
     named = marked.join(names.withColumn("merged", F.when(F.size("names") > 1, joined)).drop("names"), [*node, "side"], "left")
     out = cut(named.select(*child, F.when(F.col("side") == "*", "<*>").otherwise(F.coalesce("merged", "literal")).alias("name")))
-    for used in (follows, own, marked):
+    for used in (follows, own, totals, marked):
         drop_cut(used)
     return out
 
