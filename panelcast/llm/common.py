@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,26 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from panelcast.sources.files import remove, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a folder
-    of its own, which is removed with the process; on a cluster, where no such folder is shared, it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="panelcast-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        found = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def fresh(columns: list[str], prefix: str) -> str:
     """The prefix, with more underscores until no column begins with it."""
     while any(c.startswith(prefix) for c in columns):
@@ -51,10 +36,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a frame made by cut() that nothing reads any more."""
-    spark = df.sparkSession
     for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, name.rpartition("/")[0])
 
 
 def release() -> None:

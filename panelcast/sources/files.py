@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,6 +52,26 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset a local session (as in tests) gets a folder
+    of its own, which is removed with the process; on a cluster, where no such folder is shared, it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="panelcast-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder in any store that Spark writes."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """location, target_end_date, value; rows without a value are dropped."""
     rows = spark.read.option("header", True).option("nullValue", "NA").csv(path)

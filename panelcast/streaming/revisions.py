@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from panelcast.sources.files import remove, shared_dir
+
+#: State on disk with bounded memory, not in the heap of whoever runs the tasks.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
 
 def windowed(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
     """window start, location, n, total; rows later than the watermark are dropped (an extension: vintages never are)."""
@@ -20,10 +30,30 @@ def windowed(events: DataFrame, width: str = "1 day", slide: str | None = None,
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    """user_id, start, end, n by sessions."""
+    """user_id, start, end, n by sessions. An event just `gap` after the one before begins a new session; session_window
+    would join the two, so its gap is the last microsecond shorter."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    out = rows.groupBy(F.session_window("ts", f"{gap} -1 microseconds").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.col("w.start").alias("start"), (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end"), "n")
+
+
+def drained(stream: DataFrame, form: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The whole table that form makes of a stream at its end. Executors write it as Parquet to the shared folder, so that the
+    driver holds no rows; each batch replaces the one before."""
+    spark, path = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    table = form(stream)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        rows = table.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows"))
+        q = rows.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    q.awaitTermination()
+    remove(spark, f"{path}/state")
+    return spark.read.schema(table.schema).parquet(f"{path}/rows")
 
 
 def conformal_stream(tasks: DataFrame, levels: list[int], least: int = 10) -> DataFrame:
