@@ -4,11 +4,16 @@ A text's set has the XXH64 hashes of its shingles of `size` words; of fewer word
 sets are one node. Two nodes link at a similarity of 0.8 or more, which is checked on the whole sets; components
 of links are groups.
 
-Pairs are retrieved by MinHash: BANDS bands of ROWS minima under independent affine hashes each. A pair at 0.8 shares
+Pairs are retrieved in operator 10's way first: a node's 64-bit SimHash is the majority over its set, fingerprints are dealt
+out by blocks of equal bits, each shard gets a BK-tree, and fingerprints at RADIUS or fewer bits give pairs (as many as join
+the components of fingerprints, not all; nodes with equal fingerprints are paired with the smallest one). Those near by their
+whole sets are links, and their components are the first ones.
+
+What that radius doesn't reach is retrieved by MinHash, between different first components only: BANDS bands of ROWS minima under independent affine hashes each. A pair at 0.8 shares
 no band with a chance of (1 - 0.8 ** 5) ** 36 = 6e-7, more similar pairs with less. (64-bit fingerprints can't reach
 0.8: such pairs differ in some 10 bits and up to 18 or so, where blocks of equal bits are three bits short.)
-In each bucket every node is paired with the smallest one; then, where a bucket still has nodes of several components,
-with those of other components. So no pair of a bucket is left out, and a large group of copies gives a star, not all
+In each bucket every node is paired with the smallest one, unless both are in one component; then, where a bucket still has nodes of several components,
+with those of other components. So no pair of a bucket is left unjoined, and a large group of copies gives a star, not all
 pairs. Pairs that can't be near by their sizes and by 1024-bit prints are no rows: the prints are compared in the join
 itself. Sets of under SMALL shingles have parities as their print (a bit for each cell of a hash table, odd or even): two
 prints differ in at most as many bits as the sets differ in shingles, so no pair is lost. Larger ones have a SimHash of as
@@ -28,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from panelcast.llm import simhash
 from panelcast.llm.common import appended, cut, drop_cut
 from panelcast.llm.simhash import components
 
+RADIUS, SHARD = 2, 4096
 BANDS, ROWS = 36, 5
 PRINT, NEAR, SMALL = 16, 212, 800
 LONGS = ArrayType(LongType())
@@ -59,6 +66,12 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of the set as a signed long; zero for the empty one."""
+    ones = sum((simhash.votes(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16)), np.zeros(64, np.int64))
+    return simhash.signed(simhash.majority(ones, len(hashes)))
+
+
 def bands(hashes: np.ndarray) -> list[int]:
     """A key for each band of minima, of all bands different; none for the empty set."""
     if not len(hashes):
@@ -121,6 +134,17 @@ def _as(rows: DataFrame, side: str, *others: str) -> DataFrame:
     return rows.select(*others, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in others])
 
 
+def _close(faces: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes at RADIUS or fewer differing bits of the fingerprint, by BK-trees."""
+    least = cut(faces.groupBy("fp").agg(F.min("node").alias("least")))  # its size is known when the join is planned
+    equal = faces.select("node", "fp").join(least, "fp").filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    trees = simhash.shard_links(least.select("fp", F.col("least").alias("node")), RADIUS, SHARD, direct=True)
+    out = cut(equal.unionByName(trees))
+    drop_cut(least)
+    drop_cut(trees)
+    return out
+
+
 def _linked(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, size: int) -> DataFrame:
     """Those of the pairs (u, v) whose sets have a similarity of 0.8 (4 / 5) or more."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -147,31 +171,42 @@ def grouped(docs: DataFrame, keep: list[str], text_col: str = "text", size: int
 
     def rows(texts):
         sets = [shingle_set(t, size) for t in texts]
-        return [[node_of(s) for s in sets], [bands(s) for s in sets], [len(s) for s in sets], *zip(*map(wide_print, sets))]
+        return [[node_of(s) for s in sets], [fingerprint(s) for s in sets], [bands(s) for s in sets], [len(s) for s in sets], *zip(*map(wide_print, sets))]
 
     kept = [f"_k{i}" for i in range(len(keep))]
     chosen = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.xxhash64(text_col).alias("_tie"), F.col(text_col).alias("_text"))
-    new = [("node", "long", pa.int64()), ("bands", LONGS, pa.list_(pa.int64())), ("size", "integer", pa.int32()), *((f"p{k}", "long", pa.int64()) for k in range(PRINT))]
+    new = [("node", "long", pa.int64()), ("fp", "long", pa.int64()), ("bands", LONGS, pa.list_(pa.int64())), ("size", "integer", pa.int32()), *((f"p{k}", "long", pa.int64()) for k in range(PRINT))]
     prints = cut(appended(chosen, ["_text"], rows, new).drop("_text"))
-    faces = cut(prints.select("node", *FACE).dropDuplicates(["node"]))
+    nodes = cut(prints.select("node", "fp", *FACE).dropDuplicates(["node"]))
+
+    close = _close(nodes)
+    tried = cut(close.join(_as(nodes, "u"), F.col("u") == F.col("u_node")).join(_as(nodes, "v"), (F.col("v") == F.col("v_node")) & _alike()).select("u", "v"))
+    by_trees = _linked(tried, prints, docs, text_col, size)
+    firsts = components(by_trees)
+    faces = cut(nodes.join(firsts, nodes.node == firsts.u, "left").select("node", F.coalesce("root", "node").alias("first"), *FACE))
+    for used in (nodes, close, firsts):
+        drop_cut(used)
+
     dealt = prints.select("node", F.explode("bands").alias("key")).select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     stars = cut(dealt.mapInArrow(_stars, "key long, u long, v long"))
     pairs = stars.select("u", "v").distinct()
-    near = cut(pairs.join(_as(faces, "u"), F.col("u") == F.col("u_node")).join(_as(faces, "v"), (F.col("v") == F.col("v_node")) & _alike()).select("u", "v"))
-    links = _linked(near, prints, docs, text_col, size)
+    other = F.col("u_first") != F.col("v_first")
+    near = cut(pairs.join(_as(faces, "u"), F.col("u") == F.col("u_node")).join(_as(faces, "v"), (F.col("v") == F.col("v_node")) & other & _alike()).select("u", "v"))
+    by_bands = _linked(near, prints, docs, text_col, size)
+    links = by_trees.unionByName(by_bands)
     roots = components(links)
 
     members = stars.select("key", F.col("u").alias("node")).unionByName(stars.select("key", F.col("v").alias("node")).distinct())
     placed = members.join(roots, members.node == roots.u, "left").select("key", "node", F.coalesce("root", "node").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key")
-    left = cut(placed.join(mixed, "key").join(faces, "node"))
+    left = cut(placed.join(mixed, "key").join(faces.drop("first"), "node"))
     across = _as(left, "v", "key").join(_as(left, "u", "key"), "key").filter((F.col("v_part") < F.col("u_part")) & _alike())
     across = across.select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v")).distinct()
-    across = cut(across.join(near, ["u", "v"], "left_anti"))
+    across = cut(across.join(near.unionByName(tried), ["u", "v"], "left_anti"))
     if not across.isEmpty():
         more = _linked(across, prints, docs, text_col, size)
         roots = components(links.unionByName(more))
         drop_cut(more)
-    for used in (stars, near, left, across, links, faces):
+    for used in (tried, stars, near, left, across, by_trees, by_bands, faces):
         drop_cut(used)
     return prints.join(roots, prints.node == roots.u, "left").select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], F.coalesce("root", "node").alias("group"))

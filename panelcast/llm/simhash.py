@@ -35,6 +35,20 @@ FEW = 12
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of n hashes have."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """64 bits by majority over the XXH64 hashes of all shingles of `size` words (A-Z lower-cased); of fewer words,
     over the one of all of them. A bit at exactly half is 0."""
@@ -53,16 +67,15 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, k, 1 << 16):  # a long text's bits aren't all in memory at once
         n = min(k - at, 1 << 16)
-        hashes = np.fromiter((digest(joined[s:e], seed) for s, e in itertools.islice(spans, n)), np.uint64, n)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
+        ones += votes(np.fromiter((digest(joined[s:e], seed) for s, e in itertools.islice(spans, n)), np.uint64, n))
+    return majority(ones, k)
 
 
 def fingerprinted(docs: DataFrame, text_col: str = "text", name: str = "fp", size: int = 3) -> DataFrame:
     """docs with the fingerprint as a signed long."""
 
     def rows(texts):
-        return [[f - (1 << 64) if f >> 63 else f for f in (fingerprint(t, size) for t in texts)]]
+        return [[signed(fingerprint(t, size)) for t in texts]]
 
     return appended(docs, [text_col], rows, [(name, "long", pa.int64())])
 
@@ -102,9 +115,10 @@ class BKTree:
         return out
 
 
-def forest(values: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]:
-    """(id, smallest id of its component in this shard) for those that aren't the smallest."""
-    parent = list(range(len(values)))
+def forest(values: list[int], ids: list[int], radius: int, direct: bool = False) -> list[tuple[int, int]]:
+    """(id, smallest id of its component in this shard) for those that aren't the smallest. direct: as many pairs that join
+    the components, but of ids whose own values are within the radius, larger id first."""
+    parent, found = list(range(len(values))), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -118,8 +132,10 @@ def forest(values: list[int], ids: list[int], radius: int) -> list[tuple[int, in
             a, b = root(k), root(other)
             if a != b:
                 parent[max(a, b, key=ids.__getitem__)] = min(a, b, key=ids.__getitem__)
+                if ids[k] != ids[other]:  # a node can reach a shard by two cuts
+                    found.append((max(ids[k], ids[other]), min(ids[k], ids[other])))
         tree.add(value, k)
-    return [(ids[k], ids[r]) for k in range(len(values)) if (r := root(k)) != k]
+    return found if direct else [(ids[k], ids[r]) for k in range(len(values)) if (r := root(k)) != k]
 
 
 def blocks(bits: list[int], parts: int) -> list[list[int]]:
@@ -127,10 +143,6 @@ def blocks(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[len(bits) * i // parts : len(bits) * (i + 1) // parts] for i in range(parts)]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def finer(mask: int, parts: int) -> list[int]:
     """mask with one more of the `parts` blocks of the bits that it lacks, for each of them. Unsigned."""
     return [mask | sum(1 << b for b in p) for p in blocks([b for b in range(64) if not mask >> b & 1], parts)]
@@ -139,14 +151,14 @@ def finer(mask: int, parts: int) -> list[int]:
 def _dealt(nodes: DataFrame, radius: int, level: list[int]) -> DataFrame:
     """nodes (fp, node, mask) as rows of the shards (mask, part) one level below. The table of masks has (radius + 1)^depth
     rows, whatever the data."""
-    table = [(_signed(m), [_signed(f) for f in finer(m, radius + 1)]) for m in level]
+    table = [(signed(m), [signed(f) for f in finer(m, radius + 1)]) for m in level]
     below = nodes.sparkSession.createDataFrame(table, "mask long, below array<long>")
     rows = nodes.join(F.broadcast(below), "mask").select("fp", "node", F.explode("below").alias("mask"))
     return rows.select("fp", "node", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"))
 
 
-def shard_links(nodes: DataFrame, radius: int, shard_max: int) -> DataFrame:
-    """(u, v): links of nodes (fp, node) by way of the shards."""
+def shard_links(nodes: DataFrame, radius: int, shard_max: int, direct: bool = False) -> DataFrame:
+    """(u, v): links of nodes (fp, node) by way of the shards; see forest."""
     level = [0]
     todo = nodes.select("fp", "node", F.lit(0).cast("long").alias("mask"))
     stored, shards = [], []
@@ -172,14 +184,14 @@ def shard_links(nodes: DataFrame, radius: int, shard_max: int) -> DataFrame:
             for *k, fp, node in zip(*[c.to_pylist() for c in batch.columns]):
                 if k != key:
                     if len(ids) > 1:
-                        out += forest(values, ids, radius)
+                        out += forest(values, ids, radius, direct)
                     key, values, ids = k, [], []
                 values.append(fp & 0xFFFFFFFFFFFFFFFF)
                 ids.append(node)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=EDGES)
                 out = []
-        if len(ids) > 1 and (out := forest(values, ids, radius)):
+        if len(ids) > 1 and (out := forest(values, ids, radius, direct)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=EDGES)
 
     out = cut(keyed.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(links, "u long, v long").distinct())
